@@ -18,9 +18,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     aggregate with map-side combine and two joins; hubs are split by the skew-join rule of adaptive
     execution.
     """
-    edges = edges.where("a is not null and b is not null")
+    given = edges = saved(edges.where("a is not null and b is not null").select("a", "b"), "links")
     names = saved(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")), "nodes")
     live = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    discard(given)
     turn = 0
     while live.head(1):
         turn += 1

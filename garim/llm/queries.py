@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garim.llm import bpe, simhash
+from garim.llm import bpe, decontaminate, quality, secrets, simhash
 from garim.llm.shared import table
 
 #: The vocabulary that op6 and the pipeline encode with.
@@ -16,6 +16,19 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -25,7 +38,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op4_decontamination, op6_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
