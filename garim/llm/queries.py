@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garim.llm import bpe, decontaminate, quality, secrets, simhash
+from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, warc
 from garim.llm.shared import table
 
 #: The vocabulary that op6 and the pipeline encode with.
@@ -33,13 +33,29 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7(table(spark, sf_dir, "pages"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op10(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op4_decontamination, op6_bpe, op9_simhash)}
+    every = (
+        op1_quality, op2_secrets, op4_decontamination, op6_bpe, op7_warc,
+        op8_licenses, op9_simhash, op10_html_text,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}
