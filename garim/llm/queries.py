@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, warc
+from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, warc
 from garim.llm.shared import table
 
 #: The vocabulary that op6 and the pipeline encode with.
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,11 +55,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (
-        op1_quality, op2_secrets, op4_decontamination, op6_bpe, op7_warc,
+        op1_quality, op2_secrets, op3_substrings, op4_decontamination, op6_bpe, op7_warc,
         op8_licenses, op9_simhash, op10_html_text,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}
+    return {"op3_substrings": substrings.ORACLE, "op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}
