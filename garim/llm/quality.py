@@ -80,23 +80,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -40, 40)))
 
 
+def _features(texts: list[str | None], at_once: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature and relative frequency of all n-grams of all texts; a few texts at a time."""
+    found: list[list[np.ndarray]] = [[], [], []]
+    for start in range(0, len(texts), at_once):
+        block = Texts(pa.array(texts[start : start + at_once], pa.string()))
+        words, _, _, first = _word_hashes(block)
+        for kind, (slots, bounds) in enumerate(grams(block, words, first)):
+            text = np.repeat(np.arange(block.n), np.diff(bounds))
+            pair, count = np.unique(text << SLOTS | slots, return_counts=True)
+            found[0].append((start + (pair >> SLOTS)).astype(np.int32))
+            found[1].append(((pair & ((1 << SLOTS) - 1)) + (kind << SLOTS)).astype(np.int32))
+            found[2].append((count / np.maximum(np.diff(bounds), 1)[pair >> SLOTS]).astype(np.float32))
+    return tuple(map(np.concatenate, found))
+
+
 def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
     """A model of P(label = 1); rows with `fold` set calibrate it, the others train it."""
     always = Model(np.zeros((len(KINDS), 1 << SLOTS), np.float32), 40.0)
     train = ~fold
     if len(set(labels[train])) < 2:
         return always
-    block = Texts(pa.array(texts, pa.string()))
-    words, _, _, first = _word_hashes(block)
-    found = grams(block, words, first)
-    rows, columns, values = [], [], []
-    for kind, (slots, bounds) in enumerate(found):
-        text = np.repeat(np.arange(block.n), np.diff(bounds))
-        pair, count = np.unique(text << SLOTS | slots, return_counts=True)
-        rows.append(pair >> SLOTS)
-        columns.append((pair & ((1 << SLOTS) - 1)) + (kind << SLOTS))
-        values.append(count / np.maximum(np.diff(bounds), 1)[rows[-1]])
-    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+    rows, columns, values = _features(texts)
     here = train[rows]
     r, c, v = rows[here], columns[here], values[here]
     weights = np.zeros(len(KINDS) << SLOTS)
@@ -105,7 +110,7 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
     balance = np.where(train, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)), 0) / train.sum()
     m1, m2, b1, b2 = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(r, v * weights[c], minlength=block.n) + bias
+        z = np.bincount(r, v * weights[c], minlength=len(texts)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
         g, gb = np.bincount(c, v * error[r], minlength=len(weights)) + DECAY * weights, error.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
@@ -115,7 +120,8 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
         bias -= RATE * fix * b1 / (np.sqrt(b2) + 1e-8)
     model = Model(weights.reshape(len(KINDS), -1).astype(np.float32), bias)
     if len(set(labels[fold])) == 2:
-        model.slope, model.offset = _platt(model.raw(found)[fold], y[fold])
+        raw = np.bincount(rows, values * weights[columns], minlength=len(texts)) + bias
+        model.slope, model.offset = _platt(raw[fold], y[fold])
     return model
 
 
