@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, warc
+from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, toxicity, warc
 from garim.llm.shared import table
 
 #: The vocabulary that op6 and the pipeline encode with.
@@ -33,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -55,7 +59,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (
-        op1_quality, op2_secrets, op3_substrings, op4_decontamination, op6_bpe, op7_warc,
+        op1_quality, op2_secrets, op3_substrings, op4_decontamination, op5_toxicity, op6_bpe, op7_warc,
         op8_licenses, op9_simhash, op10_html_text,
     )
     return {f.__name__: f for f in every}
