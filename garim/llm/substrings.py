@@ -189,9 +189,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     start in an earlier text too; mask tells which of the n windows, and is null for all of them."""
     docs = docs.where("doc is not null")
     every = saved(segments(docs, span, anchor), "segments")
+    # Written first: a join in the aggregate's own stage could not be split where an anchor is hot.
     shared = every.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
+    shared = saved(shared, "anchors")
     places = saved(every.join(shared, "anchor").select("doc", F.struct("anchor", "seg").alias("id"), "place", "n"), "places")
     discard(every)
+    discard(shared)
 
     known = saved(places.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("source"), F.max("doc").alias("last"), F.min("n").alias("n")), "known")
     several = known.groupBy("id.anchor").agg(F.count("*").alias("kinds"))
