@@ -5,13 +5,209 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from garim.functions.labels import POLICIES, action
+from garim.operators import analytics, evaluation, masking, merge, tabular, vault
+from garim.operators.detectors import detect
+from garim.plans import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Labels of the corpus queries: those that documents in Latin script can hold.
+CORPUS = ["EMAIL", "IP", "CARD"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def found(spark: SparkSession, sf_dir: str, mode: str = "STRICT", include: list[str] | None = None) -> DataFrame:
+    """Documents with spans and actions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masking.with_actions(detect(docs, include=include or CORPUS), mode)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold e-mail addresses, addresses of machines or card numbers, redacted, with their risk."""
+    hits = found(spark, sf_dir).where(F.size("spans") > 0)
+    return analytics.summaries(masking.mask_text(hits, "redact")).drop("text", "spans")
+
+
+def long_spans(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.label", "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.risk_level").cast("long").alias("risk_level"), "s.action")
+
+
+def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir, include=["EMAIL"])
+    return long_spans(hits).select("doc_id", F.col("text").alias("value"))
+
+
+def ipv4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_spans(found(spark, sf_dir, include=["IP"])).where(~F.col("text").contains(":")).select("doc_id", F.col("text").alias("value"))
+
+
+def page_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return long_spans(masking.with_actions(detect(pages, include=["EMAIL"]), "STRICT")).select("doc_id", F.col("text").alias("value"))
+
+
+def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = masking.mask_text(found(spark, sf_dir, include=["EMAIL"]), "redact").where(F.size("spans") > 0)
+    return hits.select("doc_id", F.md5("text_out").alias("digest"))
+
+
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.summaries(found(spark, sf_dir)).select("doc_id", "total", "blocked", "review", "n_labels", F.col("combined_risk").cast("long").alias("combined_risk"))
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_spans(found(spark, sf_dir)).groupBy("label", "action").agg(F.count("*").alias("n"))
+
+
+def vault_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = long_spans(found(spark, sf_dir)).where("action = 'BLOCK'")
+    return vault.entries(blocked).select("doc_id", "label", "original", "token", "first_seen_offset", F.size("occurrences").cast("long").alias("n"))
+
+
+def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens put in and turned back: every text must come out as it went in."""
+    hits = found(spark, sf_dir).where(F.size("spans") > 0)
+    entries = vault.entries(long_spans(hits).where("action = 'BLOCK'"))
+    back = vault.restore(vault.tokenize(hits, entries), entries)
+    return back.select("doc_id", (F.col("restored") == F.col("text")).alias("same"), F.md5("restored").alias("digest"))
+
+
+_GRID = "select r as risk, c / 20.0 as confidence from (select explode(sequence(1, 5)) as r) cross join (select explode(sequence(0, 20)) as c)"
+
+
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action of every mode over all risks and a grid of confidences."""
+    grid = spark.range(105).select((F.col("id") % 5 + 1).alias("risk"), (F.floor(F.col("id") / 5) / 20).cast("double").alias("confidence"))
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), action(F.col("risk"), F.col("confidence"), m).alias("action")) for m in POLICIES])
+    return grid.select("risk", "confidence", F.inline(modes))
+
+
+def _policy_sql() -> str:
+    parts = []
+    for mode, (br, bc, rr, rc) in POLICIES.items():
+        parts.append(
+            f"select risk, confidence, '{mode}' as mode, case when risk >= {br} and confidence >= {bc} then 'BLOCK'"
+            f" when risk >= {rr} and confidence >= {rc} then 'REVIEW' else 'ALLOW' end as action from grid"
+        )
+    grid = "with grid as (select cast(r as bigint) as risk, cast(c / 20.0 as double) as confidence from range(1, 6) t(r), range(0, 21) u(c))"
+    return grid + " union all ".join([" " + p for p in parts])
+
+
+def k_anonymity_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.k_anonymity(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+def k_anonymity_generalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").withColumn("age", F.col("c_custkey") % 80).withColumn("band", masking.generalize_age(F.col("age"), 20))
+    return analytics.k_anonymity(people, ["band", "c_mktsegment"])
+
+
+def tabular_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return tabular.mask_columns(rows, "hashed", salt="pepper")
+
+
+def tabular_asterisk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.mask_columns(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "asterisk")
+
+
+def _merge_query(mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        both = detect(detect(docs, include=["EMAIL", "IP"], name="first"), include=["EMAIL", "CARD"], name="second")
+        spans = both.select("doc_id", F.explode(merge.merged(F.col("first"), F.col("second"), mode, delegated=("CARD",))).alias("s"))
+        return spans.groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("s.confidence"), 4).alias("confidence"))
+
+    return run
+
+
+def leakage_docs_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    return evaluation.leakage(lines, table(spark, sf_dir, "benchmark"))
+
+
+def detector_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of a detector that misses one card in three, and takes an order key for one in seven."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("CARD").alias("label"), F.lit(0).alias("start"), F.lit(16).alias("end"))
+    gold, predicted = keys.where("doc_id % 7 <> 0"), keys.where("doc_id % 3 <> 0")
+    return evaluation.by_label(gold, predicted).select("label", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent e-mail addresses and addresses of machines that are no known ones."""
+    spans = long_spans(found(spark, sf_dir, include=["EMAIL"]))
+    known = spark.createDataFrame([("EMAIL", "admin@example.com")], "label string, text string")
+    return evaluation.frequent(spans, known, 10, 1)
+
+
+# Words of RE2 and of DuckDB: matches need consuming borders, so each separator is doubled first.
+_EMAILS = r"regexp_extract_all(@, '(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*(?:\.[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*)+)', 1)"
+_IPS = r"regexp_extract_all(regexp_replace(@, '([^0-9.])', '\1\1', 'g'), '(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])', 1)"
+_IP_OK = """list_max(list_transform(string_split(value, '.'), lambda p: cast(p as int))) <= 255
+  and cast(string_split(value, '.')[1] as int) not in (0, 127) and cast(string_split(value, '.')[1] as int) < 224
+  and not starts_with(value, '169.254.') and not starts_with(value, '192.0.2.') and not starts_with(value, '198.51.100.') and not starts_with(value, '203.0.113.')"""
+_EMAIL_SQL = f"select doc_id, value from (select doc_id, unnest({_EMAILS.replace('_all(@', '_all(text')}) as value from documents) where value not like '.%' and value not like '%.@%' and value not like '%..%'"
+
+ORACLES = {
+    "email_spans": _EMAIL_SQL,
+    "page_email_spans": _EMAIL_SQL.replace("doc_id, unnest", "page_id as doc_id, unnest").replace("(text,", "(html,").replace("from documents", "from pages"),
+    "ipv4_spans": f"select doc_id, value from (select doc_id, unnest({_IPS.replace('@', 'text')}) as value from documents) where {_IP_OK}",
+    "policy_actions": _policy_sql(),
+    "k_anonymity_customer": """
+with g as (select c_nationkey, c_mktsegment, count(*) as n from customer group by all)
+select min(n) as k, count(*) as group_count, cast(sum(n) as bigint) as record_count,
+       (select cast(c_nationkey as string) || '|' || c_mktsegment from g order by n, cast(c_nationkey as string), c_mktsegment limit 1) as smallest_group,
+       min(n) >= 5 as satisfies_threshold from g""",
+    "k_anonymity_generalized": """
+with g as (select cast((c_custkey % 80) // 20 * 20 as string) || '대' as band, c_mktsegment, count(*) as n from customer group by all)
+select min(n) as k, count(*) as group_count, cast(sum(n) as bigint) as record_count,
+       (select band || '|' || c_mktsegment from g order by n, band, c_mktsegment limit 1) as smallest_group, min(n) >= 5 as satisfies_threshold from g""",
+    "tabular_customer": "select c_custkey, '<PERSON:' || sha256('pepper:PERSON:' || c_name)[1:12] || '>' as c_name, c_mktsegment from customer",
+    "tabular_asterisk": "select s_suppkey, repeat('*', length(s_name)) as s_name from supplier",
+    "leakage_docs_vs_benchmark": r"""
+select distinct key from (select trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) as key from documents)
+where key in (select trim(regexp_replace(text, '\s+', ' ', 'g')) from benchmark)""",
+    "detector_rates": """
+with c as (select count(*) filter (o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0) as tp, count(*) filter (o_orderkey % 7 = 0 and o_orderkey % 3 <> 0) as fp,
+                  count(*) filter (o_orderkey % 7 <> 0 and o_orderkey % 3 = 0) as fn from orders)
+select 'CARD' as label, tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c""",
+    "frequent_values": f"""
+select 'EMAIL' as label, value as text, count(*) as n from ({_EMAIL_SQL}) where value <> 'admin@example.com' group by value order by n desc, text limit 10""",
+    "tokenize_docs": f"""
+with hit as (select doc_id from ({_EMAIL_SQL}) union select doc_id from (select doc_id, unnest({_IPS.replace('@', 'text')}) as value from documents) where {_IP_OK}
+  union select doc_id from cards)
+select doc_id, true as same, md5(text) as digest from documents join hit using (doc_id)""",
+}
+# Card numbers by arithmetic: even places from the right count double.
+_CARDS = r"""
+cards as (
+  select doc_id, value from (
+    select doc_id, value, regexp_replace(value, '[^0-9]', '', 'g') as d from (
+      select doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'),
+        '(?:^|[^0-9])((?:[0-9]{4}(?:--|\.\.|//|  )(?:[^\S\n]{2})?){3}[0-9]{1,7}|[0-9]{13,19})(?:$|[^0-9])', 1)) as value from documents)
+  ) where length(d) between 13 and 19 and substr(d, 1, 1) in ('2', '3', '4', '5', '6', '9') and (length(d) <> 13 or d like '4%')
+      and (length(d) <> 15 or substr(d, 1, 2) in ('34', '37'))
+      and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then cast(d[i] as int)
+          else cast(d[i] as int) * 2 - case when cast(d[i] as int) > 4 then 9 else 0 end end)) % 10 = 0
+)"""
+ORACLES["tokenize_docs"] = ORACLES["tokenize_docs"].replace("with hit as", "with" + _CARDS + ", hit as", 1)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    every = (
+        email_spans, page_email_spans, ipv4_spans, redact_docs, document_summary, label_counts, vault_entries, tokenize_docs, policy_actions,
+        k_anonymity_customer, k_anonymity_generalized, tabular_customer, tabular_asterisk, leakage_docs_vs_benchmark, detector_rates, frequent_values,
+    )
+    found = {f.__name__: f for f in every}
+    found |= {f"merge_{m}": _merge_query(m) for m in merge.MODES}
+    return found | {f"lens_{name}": lens.query(x) for name, x in lens.LENSES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES | {f"lens_{name}": lens.oracle(x) for name, x in lens.LENSES.items()}
