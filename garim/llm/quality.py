@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garim.llm.shared import Texts, U, per_text_sum, with_columns, xxh64
+from garim.llm.shared import Texts, U, per_text_sum, platt, with_columns, xxh64
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 2500
@@ -121,27 +121,10 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
     model = Model(weights.reshape(len(KINDS), -1).astype(np.float32), bias)
     if len(set(labels[fold])) == 2:
         raw = np.bincount(rows, values * weights[columns], minlength=len(texts)) + bias
-        model.slope, model.offset = _platt(raw[fold], y[fold])
+        model.slope, model.offset = platt(raw[fold], y[fold])
     return model
 
 
-def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic regression with Platt's smoothed targets."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * raw).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        h = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
-            break
-    return float(a), float(b)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> list:
     """At most `most` (doc_id, text, label) rows of least hash; the bound is on what reaches the driver."""
     chosen = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("label"))
