@@ -163,9 +163,10 @@ def components(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) ->
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     rooted = saved(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first: a join in the aggregate's own stage could not be split where a component is large.
+    least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     out = saved(rooted.join(least, "root").select("fp", "component_id"), "components")
-    for old in (firsts, found, rooted):
+    for old in (firsts, found, rooted, least):
         discard(old)
     return out
 
