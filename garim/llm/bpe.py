@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from garim.llm.shared import strings, with_columns
 
 #: Words whose pieces a Python worker remembers at once; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 
 
