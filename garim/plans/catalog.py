@@ -78,9 +78,6 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.col("restored") == F.col("text")).alias("same"), F.md5("restored").alias("digest"))
 
 
-_GRID = "select r as risk, c / 20.0 as confidence from (select explode(sequence(1, 5)) as r) cross join (select explode(sequence(0, 20)) as c)"
-
-
 def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The action of every mode over all risks and a grid of confidences."""
     grid = spark.range(105).select((F.col("id") % 5 + 1).alias("risk"), (F.floor(F.col("id") / 5) / 20).cast("double").alias("confidence"))
@@ -196,6 +193,32 @@ cards as (
       and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then cast(d[i] as int)
           else cast(d[i] as int) * 2 - case when cast(d[i] as int) > 4 then 9 else 0 end end)) % 10 = 0
 )"""
+_HITS = (
+    "with"
+    + _CARDS
+    + f"""
+, hits as (
+  select doc_id, 'EMAIL' as label, value from ({_EMAIL_SQL})
+  union all select doc_id, 'IP', value from (select doc_id, unnest({_IPS.replace('@', 'text')}) as value from documents) where {_IP_OK}
+  union all select doc_id, 'CARD', regexp_replace(value, '([^0-9])\\1', '\\1', 'g') from cards
+)"""
+)
+ORACLES["label_counts"] = _HITS + " select label, 'BLOCK' as action, count(*) as n from hits group by label"
+ORACLES["document_summary"] = (
+    _HITS
+    + """
+, per as (select doc_id, count(*) as n, count(distinct label) as labels, bool_or(label = 'CARD') as card from hits group by doc_id)
+select doc_id, coalesce(n, 0) as total, coalesce(n, 0) as blocked, cast(0 as bigint) as review, coalesce(labels, 0) as n_labels,
+       cast(case when card then 5 when labels >= 2 then 3 when labels = 1 then 2 else 1 end as bigint) as combined_risk
+from documents left join per using (doc_id)"""
+)
+for _mode, _labels in {
+    "union": "EMAIL IP CARD", "intersection": "EMAIL", "enrich_primary": "EMAIL IP CARD", "cross_validation": "EMAIL IP CARD",
+    "role_split": "EMAIL IP CARD", "fallback_secondary": "EMAIL IP",
+}.items():
+    _weight = "case when label = 'CARD' then 0.7 else 1.0 end" if _mode == "cross_validation" else "1.0"
+    _wanted = ", ".join(f"'{x}'" for x in _labels.split())
+    ORACLES[f"merge_{_mode}"] = _HITS + f" select label, count(*) as n, round(cast(sum({_weight}) as double), 4) as confidence from hits where label in ({_wanted}) group by label"
 ORACLES["tokenize_docs"] = ORACLES["tokenize_docs"].replace("with hit as", "with" + _CARDS + ", hit as", 1)
 
 

@@ -71,7 +71,7 @@ LENSES = {
     "account": Lens("ACCOUNT", "계좌번호: ", f"{_pad('k % 1000', 3)} || '-' || {_pad('c % 1000', 3)} || '-' || {_pad('k % 1000000', 6)}", risk=4, confidence="0.9"),
     "drug": Lens("EDI_DRUG", "약품코드 ", f"case k % 2 when 0 then '880' else '870' end || {_pad('(k * 1000 + c) % 10000000000', 10)}", valid="k % 2 = 0", risk=2, confidence="0.9"),
     "prescription": Lens("PRESCRIPTION_ID", "처방번호 ", f"'2023' || {_pad('1 + k % 14', 2)} || {_pad('1 + c % 28', 2)} || {_pad('c % 10000', 4)}", valid="1 + k % 14 <= 12", risk=4, confidence="0.9"),
-    "case": Lens("COURT_CASE", "사건 ", "'2023' || case k % 3 when 0 then '가단' when 1 then '나' else '갸' end || cast(c as string)", valid="k % 3 <> 2", risk=3, confidence="0.9"),
+    "case": Lens("COURT_CASE", "사건 ", "'2023' || case k % 3 when 0 then '가단' when 1 then '나' else '갸' end || cast(c as string)", valid="k % 3 <> 2 and c <> 0", risk=3, confidence="0.9"),
     "birth": Lens("DT_BIRTH", "생년월일 ", "cast(1950 + k % 60 as string) || '년 ' || cast(1 + k % 14 as string) || '월 ' || cast(1 + c % 28 as string) || '일'", valid="1 + k % 14 <= 12", risk=4, confidence="0.95"),
     "age": Lens("AGE", "나이 ", "cast(k % 200 as string) || '세'", valid="k % 200 <= 150", risk=1, confidence="0.95"),
     "height": Lens("HEIGHT", "키 ", "cast(k % 300 as string) || 'cm'", valid="k % 300 between 50 and 250", risk=1, confidence="0.9"),
@@ -83,10 +83,6 @@ LENSES = {
 }
 
 
-def _values(lens: Lens) -> str:
-    return lens.value
-
-
 def sentences(spark: SparkSession, sf_dir: str, lens: Lens) -> DataFrame:
     """(doc_id, text): one sentence for each order."""
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
