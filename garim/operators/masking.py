@@ -191,3 +191,44 @@ def generalize_date(day: Column, precision: str = "month") -> Column:
     if precision == "decade":
         return F.concat((F.floor(F.year(day) / 10) * 10).cast("string"), F.lit("년대"))
     raise ValueError(f"unknown precision {precision}")
+
+
+# Words of occupations and the group that they stand for, in the order in which they count.
+OCCUPATIONS = (
+    ("장관 차관 실장 국장 과장 주무관 서기관 사무관 주사 주사보", "공무원"),
+    ("대표이사 이사 임원 사장 부사장 전무 상무", "경영진"),
+    ("교수 부교수 조교수 강사 박사후연구원 선임연구원 책임연구원 수석연구원", "연구/학계"),
+    ("의사 전문의 수련의 간호사 약사 한의사", "의료"),
+    ("판사 검사 변호사 법무사", "법조"),
+    ("회계사 세무사 감정평가사", "회계/세무"),
+    ("선생 교사", "교사"),
+)
+
+
+def generalize_occupation(title: Column) -> Column:
+    out = F.when(F.lit(False), title)
+    for words, group in OCCUPATIONS:
+        out = out.when(title.rlike("|".join(words.split())), group)
+    return out.otherwise(title)
+
+
+def generalize_address(address: Column, level: str = "city") -> Column:
+    """The province or great city, and with level `district` the district after it."""
+    if level not in ("city", "district"):
+        raise ValueError(f"unknown level {level}")
+    city_pattern = "[가-힣]+(?:특별시|광역시|특별자치도|특별자치시|도)"
+    city = F.regexp_extract(address, f"({city_pattern})", 1)
+    if level == "city":
+        return F.when(city == "", address).otherwise(city)
+    rest = F.when(city == "", address).otherwise(F.regexp_replace(address, f"^(?s).*?{city_pattern}", ""))
+    district = F.regexp_extract(rest, "([가-힣]+(?:시|군|구))", 1)
+    both = F.concat_ws(" ", F.when(city != "", city), F.when(district != "", district))
+    return F.when(both == "", address).otherwise(both)
+
+
+def _address(v: Column) -> Column:
+    wide = generalize_address(v, "district")
+    return F.when(wide == v, stars(F.length(v))).otherwise(F.concat(wide, F.lit(" ***")))
+
+
+MASKS["ADDRESS"] = _address

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garim.functions.html import strip_html
 from garim.functions.labels import POLICIES, action
-from garim.operators import analytics, evaluation, masking, merge, tabular, vault
+from garim.operators import analytics, evaluation, masking, merge, review, sequences, tabular, vault
 from garim.operators.detectors import detect
 from garim.plans import lens
 
@@ -143,6 +144,39 @@ def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.frequent(spans, known, 10, 1)
 
 
+def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
+
+
+def classifier_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that find an e-mail address against the toxicity label as a score."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "toxic")
+    hits = detect(docs, include=["EMAIL"])
+    kind = review.agreement(F.size("spans") > 0, F.col("toxic").cast("double"))
+    return hits.groupBy(kind.alias("agreement")).agg(F.count("*").alias("n"))
+
+
+def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that PERMISSIVE leaves to a person, every other one marked as wrong."""
+    queue = review.enqueue(long_spans(found(spark, sf_dir, "PERMISSIVE")))
+    return review.stats(review.mark(queue, queue.where("doc_id % 2 = 0").select("id", F.lit("FP").alias("verdict"))))
+
+
+def bio_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of line items of one return flag within each order."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("ch"),
+        F.concat(F.lit("I-"), "l_returnflag").alias("tag"), F.lit(1.0).alias("score"),
+    )
+    return sequences.bio_spans(lines.dropDuplicates(["doc_id", "pos"])).select("doc_id", "label", "start", "end", F.length("text").cast("long").alias("n"))
+
+
+def occupations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of titles that are dealt to the suppliers."""
+    titles = F.element_at(F.array(*[F.lit(t) for t in ("서울대 교수", "부장검사", "과장", "무직")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").groupBy(masking.generalize_occupation(titles).alias("occupation")).agg(F.count("*").alias("n"))
+
+
 # Words of RE2 and of DuckDB: matches need consuming borders, so each separator is doubled first.
 _EMAILS = r"regexp_extract_all(@, '(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*(?:\.[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*)+)', 1)"
 _IPS = r"regexp_extract_all(regexp_replace(@, '([^0-9.])', '\1\1', 'g'), '(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])', 1)"
@@ -176,6 +210,21 @@ with c as (select count(*) filter (o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0)
 select 'CARD' as label, tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c""",
     "frequent_values": f"""
 select 'EMAIL' as label, value as text, count(*) as n from ({_EMAIL_SQL}) where value <> 'admin@example.com' group by value order by n desc, text limit 10""",
+    "pages_text": r"""
+select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
+  '[ \t\r\n]+', ' ', 'g')) as text from pages""",
+    "classifier_agreement": f"""
+with e as (select distinct doc_id from ({_EMAIL_SQL}))
+select case when e.doc_id is not null and toxic >= 0.5 then 'both' when e.doc_id is not null then 'rules_only' when toxic >= 0.5 then 'model_only' else 'neither' end as agreement,
+       count(*) as n from documents join labels using (doc_id) left join e using (doc_id) group by 1""",
+    "occupations": """
+select case s_suppkey % 4 when 0 then '연구/학계' when 1 then '법조' when 2 then '공무원' else '무직' end as occupation, count(*) as n from supplier group by 1""",
+    "bio_islands": """
+with l as (select l_orderkey as k, l_linenumber as p, any_value(l_returnflag) as f from lineitem group by all),
+g as (select k, p, f, p - row_number() over (partition by k, f order by p) as run from l)
+select k as doc_id, f as label, min(cast(p as bigint)) as start, cast(max(p) + 1 as bigint) as "end", count(*) as n from g group by k, f, run""",
     "tokenize_docs": f"""
 with hit as (select doc_id from ({_EMAIL_SQL}) union select doc_id from (select doc_id, unnest({_IPS.replace('@', 'text')}) as value from documents) where {_IP_OK}
   union select doc_id from cards)
@@ -212,6 +261,12 @@ select doc_id, coalesce(n, 0) as total, coalesce(n, 0) as blocked, cast(0 as big
        cast(case when card then 5 when labels >= 2 then 3 when labels = 1 then 2 else 1 end as bigint) as combined_risk
 from documents left join per using (doc_id)"""
 )
+ORACLES["review_stats"] = (
+    _HITS
+    + """
+select label, count(*) filter (doc_id % 2 <> 0) as pending, cast(0 as bigint) as ok, count(*) filter (doc_id % 2 = 0) as fp, cast(0 as bigint) as fn
+from hits where label = 'CARD' group by label"""
+)
 for _mode, _labels in {
     "union": "EMAIL IP CARD", "intersection": "EMAIL", "enrich_primary": "EMAIL IP CARD", "cross_validation": "EMAIL IP CARD",
     "role_split": "EMAIL IP CARD", "fallback_secondary": "EMAIL IP",
@@ -226,6 +281,7 @@ def queries() -> dict[str, Query]:
     every = (
         email_spans, page_email_spans, ipv4_spans, redact_docs, document_summary, label_counts, vault_entries, tokenize_docs, policy_actions,
         k_anonymity_customer, k_anonymity_generalized, tabular_customer, tabular_asterisk, leakage_docs_vs_benchmark, detector_rates, frequent_values,
+        pages_text, classifier_agreement, review_stats, bio_islands, occupations,
     )
     found = {f.__name__: f for f in every}
     found |= {f"merge_{m}": _merge_query(m) for m in merge.MODES}
