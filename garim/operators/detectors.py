@@ -50,6 +50,7 @@ GATES: dict[str, Callable[[Column], Column]] = {
     "hangul": lambda t: t.rlike("[가-힣]"),
     "at": lambda t: t.contains("@"),
     "colon": lambda t: t.contains(":"),
+    "school": lambda t: t.rlike("[가-힣]|KAIST|POSTECH|UNIST|GIST"),
     "bank": lambda t: t.rlike("[가-힣]|IBK|KEB|KB|NH|SC|MG|EXIM|BOK|Sh"),
 }
 
@@ -101,6 +102,14 @@ VERSION_BEFORE = r"(?:버전|버젼|펌웨어|릴리[스즈]|빌드|패치|(?<![
 SECTION_BEFORE = r"(?:표|그림|별표|도표|붙임|항목|조항|조|항|단계|절|장|챕터|[Ss]ection|[Cc]hapter|[Ff]igure|[Tt]able|[Aa]ppendix|[Cc]lause|(?<![A-Za-z])(?:[Ss]ec|[Cc]h|[Ff]ig|[Aa]pp)\.?)\s*$"
 VERSION_AFTER = r"^\s*(?:버전|버젼|version|빌드|build|릴리[스즈])"
 INFANT_WORDS = ("아기", "아이", "딸", "아들", "둘째", "첫째", "생후", "만 ", "되었", "지났", "돌", "출산")
+COUNTRIES = (
+    "한국 대한민국 미국 일본 중국 북한 대만 홍콩 몽골 캐나다 멕시코 브라질 아르헨티나 칠레 페루 콜롬비아 쿠바 영국 아일랜드 프랑스 독일 이탈리아 스페인 포르투갈"
+    " 네덜란드 벨기에 스위스 오스트리아 스웨덴 노르웨이 핀란드 덴마크 폴란드 체코 헝가리 그리스 러시아 우크라이나 터키 튀르키예 이스라엘 사우디 이란 이집트 남아공"
+    " 인도 파키스탄 방글라데시 스리랑카 네팔 태국 베트남 인도네시아 필리핀 말레이시아 싱가포르 미얀마 캄보디아 라오스 호주 뉴질랜드 카자흐스탄 우즈베키스탄"
+    " 키르기스스탄 투르크메니스탄 모로코 알제리 튀니지 리비아 수단 에티오피아 케냐 탄자니아 우간다 가나 나이지리아 기니 에콰도르 베네수엘라 우루과이 파라과이 볼리비아"
+).split()
+PARTICLES = "에게서 한테서 께서 에게 한테 에서 으로 보다 이가 이는 이도 이를 은 는 이 가 을 를 와 과 의 에 도 만 야 라 여".split()
+SCHOOL_WORDS = ("졸업", "다녀", "다닌", "출신", "재학", "입학", "퇴학", "전학", "모교", "동문", "동창")
 RESIDENT_CENTURIES = {1: 1900, 2: 1900, 3: 2000, 4: 2000, 9: 1800, 0: 1800}
 FOREIGN_CENTURIES = {5: 1900, 6: 1900, 7: 2000, 8: 2000}
 
@@ -182,6 +191,23 @@ def _number_between(low: float, high: float) -> Check:
     return lambda m, text: F.regexp_extract(m["text"], r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double").between(low, high)
 
 
+def _countries() -> str:
+    """A country's name, which the particle that a word ends with, and 인 before it, may follow. A name that
+    itself ends like a particle loses that when it stands alone, as any word does, and is no name then."""
+    ends = lambda c: [p for p in PARTICLES if c.endswith(p)]
+    word, stop = "(?<![가-힣A-Za-z0-9])(?=[가-힣]{2,8}(?![가-힣A-Za-z0-9]))", "(?![가-힣A-Za-z0-9])"
+    plain = "|".join(c for c in COUNTRIES if not ends(c))
+    parts = [rf"(?:{plain})(?=인?(?:{'|'.join(PARTICLES)})?{stop})"]
+    for c in (c for c in COUNTRIES if ends(c)):
+        after = [p for p in PARTICLES if not any(q.endswith(p) and (c + p).endswith(q) and len(q) > len(p) for q in PARTICLES)]
+        parts.append(rf"{c}(?=(?:인(?:{'|'.join(PARTICLES)})?|{'|'.join(after)}){stop})")
+    return f"{word}(?:{'|'.join(parts)})"
+
+
+def _near_school(m: Column, text: Column) -> Column:
+    return F.concat(S.before(text, m["start"], 15), F.lit("\n"), S.after(text, m["end"], 15)).rlike("|".join(SCHOOL_WORDS))
+
+
 def _account(m: Column, text: Column) -> Column:
     return F.length(C.digits(m["text"])).between(10, 16)
 
@@ -239,6 +265,10 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
             lambda m, t: ~S.after(t, m["end"], 8).rlike(rf"^\s*(?:{VEHICLE_UNITS})"), gate="hangul four",
         ),
         Rule("URL", r"(?i)\bhttps?://[^\s<>\"'`)\]}]+", INFO, 0.9, trim=r"[.,;:!?]+$", gate="colon"),
+        Rule("NATIONALITY", _countries(), LOW, 0.7, gate="hangul"),
+        Rule("EDUCATION", "(?<![가-힣A-Za-z])(?:KAIST|POSTECH|UNIST|D?GIST|카이스트|포스텍|유니스트|지스트|디지스트)(?![가-힣A-Za-z])", MEDIUM, 0.95, gate="school"),
+        Rule("EDUCATION", "(?<![가-힣A-Za-z])[가-힣]{2,10}(?:초등|중|고등)학교(?![가-힣A-Za-z])", MEDIUM, 0.85, gate="hangul"),
+        Rule("EDUCATION", "(?<![가-힣A-Za-z])[가-힣]{2,8}[초중고](?![가-힣A-Za-z])", MEDIUM, 0.85, _near_school, gate="hangul"),
         Rule("ACCOUNT", r"(계좌\s*(?:번호|번)?\s*:?\s*)([0-9](?:[\s\-]*[0-9]){9,19})", HIGH, 0.9, _account, lead=1, value=2, gate="hangul digit"),
         Rule("ACCOUNT", rf"((?:{banks})\s*:?\s*)({_ACCOUNT})", HIGH, 0.9, _account, lead=1, value=2, gate="bank digit"),
         Rule("ACCOUNT", rf"(?<![0-9])({_ACCOUNT})(?:\s*(?:{banks}))", HIGH, 0.9, _account, value=1, gate="bank digit"),

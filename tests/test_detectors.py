@@ -35,6 +35,13 @@ CASES = [
     ("스물 다섯 살", {"AGE": "스물 다섯 살"}),
     ("키 175cm, 70kg", {"HEIGHT": "175cm", "WEIGHT": "70kg"}),
     ("사번: 12345", {"EMPLOYEE_ID": "12345"}),
+    ("미국인이 왔다", {"NATIONALITY": "미국"}),
+    ("인도 여행, 한국어, 중국산", {}),
+    ("인도는 크다", {"NATIONALITY": "인도"}),
+    ("서울고 출신", {"EDUCATION": "서울고"}),
+    ("서울고 앞", {}),
+    ("한빛초등학교", {"EDUCATION": "한빛초등학교"}),
+    ("KAIST 재학", {"EDUCATION": "KAIST"}),
     ("민원-2023-12345", {"PETITION_ID": "민원-2023-12345"}),
     ("", {}),
     (None, {}),
@@ -58,7 +65,7 @@ def test_choice_comes_before_overlap(spark):
     df = spark.createDataFrame([("팩스 031-123-4567",)], "text string")
     assert [s.label for s in detect(df).first().spans] == ["PHONE"]
     assert [s.label for s in detect(df, exclude=["PHONE"]).first().spans] == ["FAX"]
-    assert len(LABELS) == 27
+    assert len(LABELS) == 29
 
 
 def test_resolution_prefers_risk_then_confidence_then_length(spark):
