@@ -27,7 +27,6 @@ id are one text for this purpose, and each keeps its row; an empty table gives a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,11 +226,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """docs with `n_words`, `n_removed` and `kept`, the words that stay, joined by one space."""
     spans = repeated_spans(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span, anchor)
-    both = docs.join(spans.withColumnRenamed("doc", "_doc"), F.col(key) == F.col("_doc"), "left").drop("_doc")
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
+    both = docs.drop("_doc", "_spans").join(spans, F.col(key) == F.col("_doc"), "left").drop("_doc")
 
     def start():
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
-            asked = batch.column("spans").to_pylist()
+            asked = batch.column("_spans").to_pylist()
             some = [i for i, a in enumerate(asked) if a]
             gone = dict(zip(some, _removed(batch.column(text).take(pa.array(some, pa.int64())), [asked[i] for i in some], span), strict=True))
             kept, counts, removed = [], [], []
@@ -247,7 +247,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         return make
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return with_columns(both, fields, start).drop("spans")
+    return with_columns(both, fields, start).drop("_spans")
 
 
 def _removed(column: pa.Array, asked: list[list[dict]], span: int) -> Iterator[np.ndarray]:

@@ -54,3 +54,5 @@ def test_query_nulls_repeats_and_clashes(spark, rng):
     assert found[None].n_removed == 0 and found[2].n_words == 0
     assert [r.n_removed for r in S.op3(df).where("doc_id = 5").collect()] == [0, 0]
     assert S.op3(df.limit(0)).count() == 0
+    kept = S.without_repeats(df.withColumnRenamed("n_words", "spans")).where("doc_id = 9").first()
+    assert kept.kept == "tail" and kept.spans == 3
