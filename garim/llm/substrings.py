@@ -196,8 +196,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     discard(shared)
 
     known = saved(places.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("source"), F.max("doc").alias("last"), F.min("n").alias("n")), "known")
-    several = known.groupBy("id.anchor").agg(F.count("*").alias("kinds"))
-    lone = saved(several.where("kinds = 1").join(known.select("id", F.col("id.anchor").alias("anchor")), "anchor").select("id"), "lone")
+    single = known.groupBy(F.col("id.anchor").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds = 1")
+    single = saved(single.select("anchor"), "single")
+    lone = saved(single.join(known.select("id", F.col("id.anchor").alias("anchor")), "anchor").select("id"), "lone")
     whole = paths(places, lone)
 
     sources = known.select("id", F.col("source.doc").alias("first"), F.col("source.place").alias("place"), "n")
@@ -208,7 +209,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
 
     # Of each window at a branch, the smallest text that it starts in.
     windows = hashed.where("windows is not null").select("id", "first", F.posexplode("windows").alias("i", "h"))
-    least = windows.groupBy(F.col("id.anchor").alias("anchor"), "h").agg(F.min("first").alias("low"))
+    least = saved(windows.groupBy(F.col("id.anchor").alias("anchor"), "h").agg(F.min("first").alias("low")), "least")
     lows = windows.withColumn("anchor", F.col("id.anchor")).join(least, ["anchor", "h"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "low"))).alias("lows"))
     ready = saved(hashed.drop("windows").join(lows, "id", "left"), "ready")
 
@@ -218,7 +219,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     found = found.where("case when mask is null then first < doc else mask <> 0 end")
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("place", "n", "check", "mask")).alias("spans"))
     out = saved(spans, "spans")
-    for old in (places, known, lone, whole, hashed, ready):
+    for old in (places, known, single, lone, whole, hashed, least, ready):
         discard(old)
     return out
 
