@@ -20,6 +20,8 @@ INFO, LOW, MEDIUM, HIGH, CRITICAL = range(1, 6)
 #: The day that dates are held against unless a caller names another: results don't change overnight.
 AS_OF = "2025-01-01"
 
+LEAST_SCORE = 0.5
+
 Check = Callable[[Column, Column], Column]
 
 
@@ -35,6 +37,8 @@ class Rule:
     #: Confidence where `sure` doesn't hold.
     unsure: float | None = None
     sure: Check | None = None
+    #: Confidence by the words around; below `LEAST_SCORE` only a name that scores elsewhere in the text stays.
+    score: Check | None = None
     #: Characters to leave out at the end of a match.
     trim: str = ""
     #: Whether a later pass must only not repeat a span, or not overlap one.
@@ -109,6 +113,38 @@ COUNTRIES = (
     " 키르기스스탄 투르크메니스탄 모로코 알제리 튀니지 리비아 수단 에티오피아 케냐 탄자니아 우간다 가나 나이지리아 기니 에콰도르 베네수엘라 우루과이 파라과이 볼리비아"
 ).split()
 PARTICLES = "에게서 한테서 께서 에게 한테 에서 으로 보다 이가 이는 이도 이를 은 는 이 가 을 를 와 과 의 에 도 만 야 라 여".split()
+PROVINCES = (
+    "서울특별시 부산광역시 대구광역시 인천광역시 광주광역시 대전광역시 울산광역시 세종특별자치시 경기도 강원특별자치도 강원도 충청북도 충청남도"
+    " 전북특별자치도 전라북도 전라남도 경상북도 경상남도 제주특별자치도 제주도"
+).split()
+BUILDINGS = "빌딩 타워 센터 스퀘어 플라자 오피스텔 아파트 맨션 하이츠 캐슬 팰리스 레지던스 빌라 주공 자이 래미안 푸르지오 더샵 아이파크 힐스테이트".split()
+MAJOR_PARTS = (
+    "컴퓨터 소프트웨어 정보 통신 전자 전기 기계 자동차 항공 우주 조선 해양 건축 토목 도시 환경 화학 화공 생명 생물 물리 수 통계 천문 지구 지질 재료 신소재 산업 에너지 원자력"
+    " 식품 영양 의류 의상 아동 가정 소비자 경영 경제 회계 무역 금융 국제 통상 행정 정치 외교 사회 복지 심리 교육 법 언론 신문 방송 광고 홍보 문헌 인류 철 사 종교 신"
+    " 국어 국문 영어 영문 독어 독문 불어 불문 중어 중문 일어 일문 노어 노문 서어 서문 한문 언어 미술 회화 조소 디자인 음악 작곡 성악 무용 연극 영화 체육 간호 약 의 치의 한의 수의"
+    " 의예 치의예 한의예 보건 물리치료 임상병리 방사선 농 원예 산림 축산 관광 호텔 공 과 문화 데이터 인공지능 보안 경찰 소방"
+).split()
+FACULTIES = "의과대학 한의대 수의대 의대 치대 약대 법대 행정대 경상대학 경상대 공대 미대 음대 체대 예대 사범대 신학대 농대 건축대 경영대".split()
+TITLES = (
+    "대표이사 부사장 사장 부회장 회장 전무 상무 이사 본부장 부장 차장 과장 계장 대리 주임 사원 인턴 팀장 실장 국장 센터장 지점장 점장 그룹장 파트장 소장 원장 총장 학장 처장"
+    " 수석연구원 책임연구원 선임연구원 연구원 연구실장 조교수 부교수 교수 강사 조교 박사 교장 교감 교사 선생 의사 전문의 한의사 약사 간호사 변호사 법무사 회계사 세무사 변리사"
+    " 노무사 검사장 부장검사 검사 부장판사 판사 대법관 장관 차관 차관보 사무관 서기관 이사관 주무관 주사 서기 시장 군수 구청장 도지사 의원 경정 경감 경위 경사 경장 순경"
+    " 소방위 소방장 소방사 대장 중장 소장 준장 대령 중령 소령 대위 중위 소위 상사 중사 하사 병장 대사 영사 목사 신부 수녀 매니저 기사 기장"
+).split()
+SURNAMES = (
+    "김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구민진나지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국"
+    "어은편용예경봉사부가복태목형피두감음빈동온호범좌팽승간상시갈단견당"
+)
+LONG_SURNAMES = "남궁 황보 제갈 사공 선우 서문 독고 동방 어금 망절 무본 황목 등정 장곡 강전 소봉 한양".split()
+NAME_FIELDS = (
+    "성명 이름 성함 신청인 신청자 민원인 대표자 담당자 작성자 보호자 환자명 환자 고객명 예금주 수령인 수취인 발신인 수신인 신고인 신고자 피의자 피해자 원고 피고 고소인 청구인 피청구인 계약자 세대주"
+    " 채무자 채권자 임차인 임대인 매도인 매수인 참석자 담임 학생명 직원명 회원명"
+).split()
+NO_NAMES = (
+    "성명 이름 성함 신청 신청인 신청자 주소 전화 정보 이메일 고객 고객명 연락 연락처 주민 한국 이사 전무 사원 사장 시장 여자 남자 학생 직원 회원 담당 담당자 대리 부장 과장 차장 서울 부산 대구 인천 광주"
+    " 대전 경기 강원 제주 전국 국민 시민 주민등록 사업자 신분증 여권 계좌 은행 문의 안내 확인 결과 내용 오늘 내일 우리 모두 이것 저것 그것 이번 지난 다음 현재 기타 없음 미상 해당 동의 신고 원고 피고"
+    " 조사 수사 처리 접수 제출 서류 기관 부서 소속 직책 직급 직위 성별 나이 생년 변호사 교수 의사 간호사 판사 검사 강사 조교 목사 기사 기장 장관 의원 원장 소장 국장 팀장 실장 점장 선생 선생님 환자"
+).split()
 SCHOOL_WORDS = ("졸업", "다녀", "다닌", "출신", "재학", "입학", "퇴학", "전학", "모교", "동문", "동창")
 RESIDENT_CENTURIES = {1: 1900, 2: 1900, 3: 2000, 4: 2000, 9: 1800, 0: 1800}
 FOREIGN_CENTURIES = {5: 1900, 6: 1900, 7: 2000, 8: 2000}
@@ -208,6 +244,41 @@ def _near_school(m: Column, text: Column) -> Column:
     return F.concat(S.before(text, m["start"], 15), F.lit("\n"), S.after(text, m["end"], 15)).rlike("|".join(SCHOOL_WORDS))
 
 
+_PROVINCE = "|".join(PROVINCES)
+_TAIL = (
+    rf"(?:\s*[0-9]+[동호층]|\s+[가-힣A-Za-z0-9]{{2,20}}(?=\s+[0-9]+[동호층])|\s+[가-힣A-Za-z0-9]{{0,20}}(?:{'|'.join(BUILDINGS)}))*"
+    r"(?:\s*\([가-힣A-Za-z0-9,·\s]+\))?"
+)
+
+
+def _address(place: str) -> str:
+    """Province, up to two of city, county and ward, a place with its number, and what stands inside it."""
+    return rf"(?<![가-힣A-Za-z0-9])(?:(?:{_PROVINCE})\s*)?(?:[가-힣]{{1,8}}[시군구]\s+){{0,2}}{place}\s*[0-9]+(?:-[0-9]+)?(?![0-9-])(?:\s*번지)?{_TAIL}"
+
+
+def _placed(m: Column, text: Column) -> Column:
+    """A number after a place is an address where a wider place or the word for one stands before it."""
+    return m["text"].rlike(rf"^(?:(?:{_PROVINCE})|[가-힣]{{1,8}}[시군구]\s)") | S.before(text, m["start"], 20).contains("주소")
+
+
+def _name_score(m: Column, text: Column) -> Column:
+    """The sum of what speaks for a name: its surname, a field's label or a title beside it, a number or address
+    of a person nearby, an age after it. Two characters need more, unless a label or a title stands there."""
+    left, right, titles = S.before(text, m["start"], 25), S.after(text, m["end"], 25), "|".join(TITLES)
+    label = left.rlike(rf"(?:{'|'.join(NAME_FIELDS)})\s*[:：]?\s*$")
+    title = right.rlike(rf"^\s?(?:{titles}|씨|님)(?![가-힣]{{3}})") | left.rlike(rf"(?:{titles})\s$")
+    known = F.concat(left, F.lit("\n"), right).rlike(r"[0-9]{6}-?[0-9]{7}|01[01679][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}|[A-Za-z0-9]@[A-Za-z0-9]")
+    aged = F.substring(right, 1, 12).rlike(r"^\s*[,(]?\s*(?:만\s*)?(?:[0-9]{1,3}\s*세|[남여](?:성|자)?(?![가-힣]))")
+    short = F.length(m["text"]) <= 2
+    part = lambda test, points: F.when(test, points).otherwise(0.0)
+    total = 0.15 + part(label, 0.5) + part(title, 0.35) + F.when(known, F.when(short, 0.2).otherwise(0.4)).otherwise(0.0) + part(aged, 0.3)
+    return F.round(F.least(F.lit(1.0), total - part(short & ~label & ~title, 0.1)), 2)
+
+
+def _no_common_word(m: Column, text: Column) -> Column:
+    return ~m["text"].isin(NO_NAMES) & ~m["text"].rlike(rf"^(?:{'|'.join(TITLES)})$")
+
+
 def _account(m: Column, text: Column) -> Column:
     return F.length(C.digits(m["text"])).between(10, 16)
 
@@ -223,7 +294,7 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
         return full.between(1900, year)
 
     sure = lambda m, t: C.rrn_valid(C.digits(m["text"]))
-    banks = "|".join(BANKS)
+    banks, titles, parts = "|".join(BANKS), "|".join(sorted(set(TITLES), key=lambda t: (-len(t), t))), "|".join(MAJOR_PARTS)
     return [
         Rule("RRN", rf"(?<![0-9]){_SIX_SEVEN}", CRITICAL, 1.0, resident, unsure=0.7, sure=sure),
         Rule("RRN", rf"(?<![0-9])([0-9])({_SIX_SEVEN})", CRITICAL, 1.0, resident, lead=1, value=2, unsure=0.7, sure=sure, exact=True),
@@ -265,6 +336,8 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
             lambda m, t: ~S.after(t, m["end"], 8).rlike(rf"^\s*(?:{VEHICLE_UNITS})"), gate="hangul four",
         ),
         Rule("URL", r"(?i)\bhttps?://[^\s<>\"'`)\]}]+", INFO, 0.9, trim=r"[.,;:!?]+$", gate="colon"),
+        Rule("ADDRESS", _address("[가-힣A-Za-z0-9]{1,16}(?:로|길)"), MEDIUM, 0.8, _placed, gate="hangul digit"),
+        Rule("ADDRESS", _address("[가-힣]{1,8}[동읍면리]"), MEDIUM, 0.75, _placed, gate="hangul digit"),
         Rule("NATIONALITY", _countries(), LOW, 0.7, gate="hangul"),
         Rule("EDUCATION", "(?<![가-힣A-Za-z])(?:KAIST|POSTECH|UNIST|D?GIST|카이스트|포스텍|유니스트|지스트|디지스트)(?![가-힣A-Za-z])", MEDIUM, 0.95, gate="school"),
         Rule("EDUCATION", "(?<![가-힣A-Za-z])[가-힣]{2,10}(?:초등|중|고등)학교(?![가-힣A-Za-z])", MEDIUM, 0.85, gate="hangul"),
@@ -272,12 +345,22 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
         Rule("ACCOUNT", r"(계좌\s*(?:번호|번)?\s*:?\s*)([0-9](?:[\s\-]*[0-9]){9,19})", HIGH, 0.9, _account, lead=1, value=2, gate="hangul digit"),
         Rule("ACCOUNT", rf"((?:{banks})\s*:?\s*)({_ACCOUNT})", HIGH, 0.9, _account, lead=1, value=2, gate="bank digit"),
         Rule("ACCOUNT", rf"(?<![0-9])({_ACCOUNT})(?:\s*(?:{banks}))", HIGH, 0.9, _account, value=1, gate="bank digit"),
+        Rule(
+            "PERSON",
+            rf"(?<![가-힣])(?:(?:{'|'.join(LONG_SURNAMES)})[가-힣]{{1,2}}|[{SURNAMES}][가-힣]{{1,2}})(?=(?:씨|님|{titles})?(?:{'|'.join(PARTICLES)})?(?![가-힣]))",
+            HIGH, 0.5, _no_common_word, score=_name_score, gate="hangul",
+        ),
         Rule("EDI_DRUG", r"(?<![0-9])88[018][0-9]{10}(?![0-9])", LOW, 0.9, keyword(DRUG_WORDS, 18)),
         Rule("EDI_DRUG", r"(?<![0-9])[0-9]{9}(?![0-9])", LOW, 0.85, keyword(DRUG_WORDS, 18)),
         Rule("COURT_CASE", rf"(?<![0-9가-힣])(?:19|20)[0-9]{{2}}(?:{'|'.join(CASE_CODES)})(?!0+(?![0-9]))[0-9]{{1,6}}(?![0-9가-힣])", MEDIUM, 0.9, gate="hangul four"),
         Rule("DT_BIRTH", r"(?<![0-9])(?:[0-9]{4}|[0-9]{2})\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일", HIGH, 0.95, _born(as_of, True), gate="hangul digit"),
         Rule("DT_BIRTH", r"(?<![0-9])[0-9]{2,4}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{1,2}(?![0-9])", HIGH, 0.9, _born(as_of, False), gate="digit"),
         Rule("DT_BIRTH", r"(?<![0-9])[0-9]{2,4}\s*년\s*생", MEDIUM, 0.85, year_only, gate="hangul digit"),
+        Rule("MAJOR", rf"(?<![가-힣A-Za-z])(?:{parts}){{1,4}}(?:학과|학부|전공)", LOW, 0.9, gate="hangul"),
+        Rule("MAJOR", rf"(?<![가-힣A-Za-z])(?:{parts}){{1,3}}(?:학|과)(?![가-힣A-Za-z])", LOW, 0.85, lambda m, t: ~m["text"].isin("사과", "의과", "공과", "사학과", "수과"), gate="hangul"),
+        Rule("MAJOR", rf"(?<![가-힣A-Za-z])(?:{'|'.join(FACULTIES)})(?![가-힣A-Za-z])", LOW, 0.8, gate="hangul"),
+        Rule("POSITION", rf"(?<![가-힣A-Za-z])(?:{titles})(?![가-힣A-Za-z])", LOW, 0.85, keyword(("직급", "직책", "직위", "보직", "직군"), 12), gate="hangul"),
+        Rule("POSITION", rf"(?<![가-힣A-Za-z])(?:{titles})(?=님)", LOW, 0.8, gate="hangul"),
         Rule("AGE", r"(?<![0-9])[0-9]{1,3}\s*[세살](?![0-9])", INFO, 0.95, _number_between(0, 150), gate="hangul digit"),
         Rule("AGE", r"(?<![0-9])[1-9]0대(?![0-9가-힣])", INFO, 0.85, gate="hangul digit"),
         Rule(
@@ -306,6 +389,13 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
 LABELS = tuple(dict.fromkeys(r.label for r in rules()))
 
 
+def _named(spans: Column) -> Column:
+    """Spans that score enough, and others of the same words, which get the least score."""
+    names = F.transform(F.filter(spans, lambda m: m["confidence"] >= LEAST_SCORE), lambda m: m["text"])
+    kept = F.filter(spans, lambda m: F.array_contains(names, m["text"]))
+    return F.transform(kept, lambda m: m.withField("confidence", F.greatest(m["confidence"], F.lit(LEAST_SCORE))))
+
+
 def _of_rule(rule: Rule, rank: int, column: str) -> Column:
     text = F.col(column)
     found = S.find_all(column, rule.pattern, rule.lead, rule.value, rule.label, rule.risk, rule.confidence, rank)
@@ -314,6 +404,9 @@ def _of_rule(rule: Rule, rank: int, column: str) -> Column:
         found = F.transform(found, lambda m: m.withField("end", m["start"] + F.length(short(m))).withField("text", short(m)))
     if rule.keep:
         found = F.filter(found, lambda m: rule.keep(m, text))
+    if rule.score:
+        scored = F.transform(found, lambda m: m.withField("confidence", rule.score(m, text)))
+        found = F.transform(F.array(scored), _named)[0]
     if rule.sure:
         found = F.transform(found, lambda m: m.withField("confidence", F.when(rule.sure(m, text), rule.confidence).otherwise(rule.unsure)))
     return found

@@ -29,7 +29,7 @@ SECRETS = {
 }
 PLACEHOLDER = r"(?i::(?:password|changeme|passwd|secret|pass|xxx+|\*+|<[^>]*>|\$\{?[A-Z_]+\}?)@|REPLACE_WITH|YOUR[_-]|EXAMPLE)"
 #: Labels that say too little about one person to hold text back.
-HARMLESS = ("AGE", "HEIGHT", "WEIGHT", "URL", "DOC_ID", "PETITION_ID")
+HARMLESS = ("PERSON", "ADDRESS", "MAJOR", "POSITION", "AGE", "HEIGHT", "WEIGHT", "URL", "DOC_ID", "PETITION_ID")
 
 
 def secret_spans(column: str) -> Column:

@@ -79,6 +79,10 @@ LENSES = {
     "document": Lens("DOC_ID", "문서 ", f"'행안부-정책' || '-2023-' || {_pad('k % 100000', 5)}", risk=2, confidence="0.85"),
     "petition": Lens("PETITION_ID", "접수 ", f"'2023-민원-' || {_pad('k % 1000000', 6)}", risk=2, confidence="0.9"),
     "staff": Lens("EMPLOYEE_ID", "사번: ", _pad("c % 10000000", 7), risk=3, confidence="0.85"),
+    "address": Lens("ADDRESS", "거주지 ", "case k % 3 when 0 then '서울특별시 강남구 ' when 1 then '성남시 ' else '' end || '한빛로 ' || cast(k as string) || ' ' || cast(c as string) || '호'", valid="k % 3 <> 2", risk=3, confidence="0.8"),
+    "person": Lens("PERSON", "성명: ", "case k % 3 when 0 then '홍길동' when 1 then '남궁민수' else '뷁길동' end", valid="k % 3 <> 2", risk=4, confidence="0.65"),
+    "major": Lens("MAJOR", "학력 ", "case k % 3 when 0 then '컴퓨터공학과' when 1 then '국어국문학과' else '뷁뷁학과' end", valid="k % 3 <> 2", risk=2, confidence="0.9"),
+    "position": Lens("POSITION", "직급: ", "case k % 3 when 0 then '과장' when 1 then '책임연구원' else '뷁장' end", valid="k % 3 <> 2", risk=2, confidence="0.85"),
     "url": Lens("URL", "누리집 ", "'https://example.com/' || cast(k as string)", ".", risk=1, confidence="0.9"),
 }
 

@@ -43,6 +43,17 @@ CASES = [
     ("한빛초등학교", {"EDUCATION": "한빛초등학교"}),
     ("KAIST 재학", {"EDUCATION": "KAIST"}),
     ("민원-2023-12345", {"PETITION_ID": "민원-2023-12345"}),
+    ("서울특별시 강남구 테헤란로 152 한빛타워 12층 (역삼동) 앞", {"ADDRESS": "서울특별시 강남구 테헤란로 152 한빛타워 12층 (역삼동)"}),
+    ("주소: 역삼동 12-3번지", {"ADDRESS": "역삼동 12-3번지"}),
+    ("세종로 1 근처, 강남구 구호 1", {}),
+    ("성명: 홍길동, 홍길동은 갔다", {"PERSON": "홍길동"}),
+    ("김철수 (32세)가 왔다 나박김치", {"AGE": "32세"}),
+    ("남궁민수 과장이 왔다", {"PERSON": "남궁민수"}),
+    ("이메일 주소 안내, 이순신은 장군", {}),
+    ("컴퓨터공학과 졸업, 물리학 강의", {"MAJOR": "물리학"}),
+    ("사과 학과 한과", {}),
+    ("직책: 책임연구원", {"POSITION": "책임연구원"}),
+    ("부장님께 부장이", {"POSITION": "부장"}),
     ("", {}),
     (None, {}),
 ]
@@ -65,7 +76,7 @@ def test_choice_comes_before_overlap(spark):
     df = spark.createDataFrame([("팩스 031-123-4567",)], "text string")
     assert [s.label for s in detect(df).first().spans] == ["PHONE"]
     assert [s.label for s in detect(df, exclude=["PHONE"]).first().spans] == ["FAX"]
-    assert len(LABELS) == 29
+    assert len(LABELS) == 33
 
 
 def test_resolution_prefers_risk_then_confidence_then_length(spark):
