@@ -1,4 +1,4 @@
-"""A guard over generated text: secrets and personal data, a verdict, and a redacted copy."""
+"""Guards: credentials and personal data in generated text, and prompts that work against their instructions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garim.functions import spans as S
+from garim.functions.normalize import with_normalized
 from garim.operators.detectors import detect
 
 # The public shapes of credentials, by who issues them.
@@ -60,3 +61,60 @@ def guard_output(df: DataFrame, text: str = "text") -> DataFrame:
     verdict = F.when(worst >= 4, "BLOCK").when(worst.isNotNull(), "FLAG").otherwise("ALLOW")
     redacted = S.splice(F.col(text), merged_places(F.col("violations")), lambda p: F.lit("[REDACTED]"))
     return found.withColumn("verdict", verdict).withColumn("safe_text", F.when(F.size("violations") > 0, redacted).otherwise(F.col(text)))
+
+
+# Letters of other scripts that look like Latin ones, and digits read as letters.
+LOOKALIKES = ("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSaopvikABEZHIKMNOPTYX")
+LEET = (("013457@$!", "oieastasi"), ("013457@$!", "oleastasi"))
+_KO_ORDERS, _EN_ORDERS = "(?:지시|지침|명령|규칙|프롬프트|설정)", "(?:instructions?|prompts?|rules?|directions?|guidelines?|directives?)"
+_EARLIER, _DROP = "(?:이전|기존|앞선|앞의|위의|지금까지의?|원래|처음|너의|네|시스템)", "(?:무시|잊어|잊고|따르지|버리고|취소|초기화|무효|폐기|덮어)"
+_TELL = "(?:알려|보여|출력|말해|공개|복사|읽어|적어|반복)"
+#: Category, risk, pattern; the first four categories block from risk 4.
+PROMPT_RULES = (
+    ("INSTRUCTION_OVERRIDE", 4, rf"{_EARLIER}\s*(?:받은\s*)?(?:모든\s*)?{_KO_ORDERS}.{{0,14}}?{_DROP}"),
+    ("INSTRUCTION_OVERRIDE", 4, rf"{_DROP}\S{{0,3}}\s*{_EARLIER}\s*(?:모든\s*)?{_KO_ORDERS}"),
+    ("INSTRUCTION_OVERRIDE", 4, rf"(?:ignore|disregard|forget|override)\s*(?:all\s*)?(?:of\s*)?(?:the\s*|your\s*|my\s*)?(?:previous|prior|above|earlier|preceding|initial)\s*{_EN_ORDERS}"),
+    ("INSTRUCTION_OVERRIDE", 4, rf"(?:ignore|disregard|forget|override)\s*(?:all\s*)?your\s*{_EN_ORDERS}"),
+    ("PROMPT_LEAK", 4, rf"(?:시스템|system|숨긴|숨겨진|비밀|내부|초기|처음\s*받은|네가?\s*받은)\s*(?:프롬프트|prompt|메시지|지침|규칙|설정).{{0,12}}?{_TELL}"),
+    ("PROMPT_LEAK", 4, rf"(?:reveal|show|print|repeat|tell|output)\s+(?:me\s+)?(?:your|the)\s+(?:system|initial|original|hidden|secret)\s+(?:{_EN_ORDERS}|message)"),
+    ("JAILBREAK", 4, r"\bDAN\s*(?:모드|mode|처럼|이라는)|do\s*anything\s*now|jailbreak\s*(?:mode|prompt|now|해)|(?:제한|규제|필터|검열|제약)\s*(?:이|가)?\s*없는\s*(?:AI|인공지능|모델|챗봇)"),
+    ("JAILBREAK", 4, r"(?:안전\s*(?:필터|장치|규칙)|검열|가드레일).{0,4}?(?:해제|풀고|끄고|우회|무력화).{0,12}?(?:답|말|대답|응답)"),
+    ("JAILBREAK", 3, r"(?:가상|허구|소설|역할극).{0,12}?(?:이니까|상황|설정).{0,20}?(?:괜찮|상관\s*없|문제\s*없|허용)"),
+    ("EXFILTRATION", 4, rf"(?:전체|모든|지금까지의?|위의?)\s*(?:대화|맥락|컨텍스트|기록).{{0,15}}?(?:전부|모두|그대로)?\s*(?:{_TELL}|보내|덤프)"),
+    ("EXFILTRATION", 4, r"(?:dump|print|repeat|send)\s+(?:me\s+)?(?:the\s+)?(?:entire|whole|full)\s+(?:conversation|context|history)"),
+    ("ENCODING", 3, r"(?:base64|rot13|hex).{0,20}?(?:디코드|디코딩|해독|decode)|(?:디코드|디코딩|해독|decode).{0,20}?(?:base64|rot13|hex)|(?:%[0-9A-Fa-f]{2}){6,}"),
+)
+BLOCKING = ("INSTRUCTION_OVERRIDE", "PROMPT_LEAK", "JAILBREAK", "EXFILTRATION")
+#: A request to translate such a sentence is no order to follow it.
+QUOTED = r"(?:translate|번역)\s*(?:the following|this|다음|아래)?|(?:라는|라고)\s*(?:문장|말|표현).{0,8}?(?:번역|뜻)"
+
+
+def _readings(text: Column) -> list[Column]:
+    """A text as written, with lookalikes as Latin letters, with single letters drawn together, and with digits as letters."""
+    latin = F.when(text.rlike("[A-Za-z]"), F.translate(text, *LOOKALIKES)).otherwise(text)
+    joined = F.regexp_replace(latin, r"(?<=(?<![A-Za-z가-힣])[A-Za-z가-힣])[ ._*-](?=[A-Za-z가-힣](?![A-Za-z가-힣]))", "")
+    return [latin, joined, *(F.translate(F.lower(joined), *pair) for pair in LEET)]
+
+
+def _any(pattern: str) -> Column:
+    return F.exists("_readings", lambda t: t.rlike(f"(?i){pattern}"))
+
+
+def guard_prompt(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with `categories` (sorted names of what was found in any reading) and `verdict`: BLOCK for a blocking
+    category of risk 4, FLAG for any other, else ALLOW. What a request to translate quotes is only flagged.
+    Null text is allowed and has no categories; columns with these names are replaced."""
+    read = with_normalized(df, text, "_normal").withColumn("_readings", F.array(*_readings(F.col("_normal.text"))))
+    hits = [F.when(_any(pattern), F.struct(F.lit(name).alias("name"), F.lit(risk).alias("risk"))) for name, risk, pattern in PROMPT_RULES]
+    read = read.withColumn("_hits", F.filter(F.array(*hits), lambda h: h.isNotNull()))
+    block = F.exists("_hits", lambda h: (h["risk"] >= 4) & h["name"].isin(*BLOCKING)) & ~F.col("_normal.text").rlike(f"(?i){QUOTED}")
+    verdict = F.when(block, "BLOCK").when(F.size("_hits") > 0, "FLAG").otherwise("ALLOW")
+    names = F.sort_array(F.array_distinct(F.transform("_hits", lambda h: h["name"])))
+    return read.withColumn("verdict", verdict).withColumn("categories", names).drop("_normal", "_readings", "_hits")
+
+
+def repeats_context(text: Column, context: Column, least: int = 30) -> Column:
+    """Whether text holds a run of at least `least` characters of the context. Null has none."""
+    runs = F.sequence(F.lit(1), F.length(context) - (least - 1))
+    held = F.exists(runs, lambda i: F.contains(text, F.substring(context, i, F.lit(least))))
+    return F.coalesce(F.when((F.length(context) >= least) & (F.length(text) >= least), held), F.lit(False))
