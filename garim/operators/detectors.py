@@ -145,6 +145,12 @@ NO_NAMES = (
     " 대전 경기 강원 제주 전국 국민 시민 주민등록 사업자 신분증 여권 계좌 은행 문의 안내 확인 결과 내용 오늘 내일 우리 모두 이것 저것 그것 이번 지난 다음 현재 기타 없음 미상 해당 동의 신고 원고 피고"
     " 조사 수사 처리 접수 제출 서류 기관 부서 소속 직책 직급 직위 성별 나이 생년 변호사 교수 의사 간호사 판사 검사 강사 조교 목사 기사 기장 장관 의원 원장 소장 국장 팀장 실장 점장 선생 선생님 환자"
 ).split()
+#: Cities and wards that begin like a surname.
+NO_PERSON_PLACES = (
+    "강남구 강동구 강북구 강서구 노원구 도봉구 마포구 서초구 성동구 성북구 송파구 양천구 용산구 은평구 종로구 구로구 동작구 금천구 관악구 광진구 유성구 남동구 연수구 부평구 계양구"
+    " 성남시 안양시 안산시 고양시 용인시 오산시 하남시 이천시 안성시 김포시 양주시 여주시 강릉시 원주시 제천시 공주시 서산시 전주시 정읍시 남원시 김제시 여수시 나주시 경주시"
+    " 김천시 안동시 문경시 경산시 진주시 김해시 양산시 구리시 구미시 문산읍 서귀포 양평군 강화군"
+).split()
 SCHOOL_WORDS = ("졸업", "다녀", "다닌", "출신", "재학", "입학", "퇴학", "전학", "모교", "동문", "동창")
 RESIDENT_CENTURIES = {1: 1900, 2: 1900, 3: 2000, 4: 2000, 9: 1800, 0: 1800}
 FOREIGN_CENTURIES = {5: 1900, 6: 1900, 7: 2000, 8: 2000}
@@ -276,7 +282,7 @@ def _name_score(m: Column, text: Column) -> Column:
 
 
 def _no_common_word(m: Column, text: Column) -> Column:
-    return ~m["text"].isin(NO_NAMES) & ~m["text"].rlike(rf"^(?:{'|'.join(TITLES)})$")
+    return ~m["text"].isin(NO_NAMES + NO_PERSON_PLACES) & ~m["text"].rlike(rf"^(?:{'|'.join(TITLES)})$")
 
 
 def _account(m: Column, text: Column) -> Column:

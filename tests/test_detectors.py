@@ -49,6 +49,7 @@ CASES = [
     ("성명: 홍길동, 홍길동은 갔다", {"PERSON": "홍길동"}),
     ("김철수 (32세)가 왔다 나박김치", {"AGE": "32세"}),
     ("남궁민수 과장이 왔다", {"PERSON": "남궁민수"}),
+    ("강남구 과장, 성남시 시장", {}),
     ("이메일 주소 안내, 이순신은 장군", {}),
     ("컴퓨터공학과 졸업, 물리학 강의", {"MAJOR": "물리학"}),
     ("사과 학과 한과", {}),
