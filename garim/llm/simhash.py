@@ -155,10 +155,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def components(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): for every distinct fingerprint the smallest key reachable by links."""
+def components(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, linked: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id): for every distinct fingerprint the smallest key reachable by links, or by those given."""
     firsts = saved(prints.groupBy("fp").agg(F.min(key).alias("first")), "firsts")
-    found = connected_components(links(firsts, radius))
+    found = connected_components(links(firsts, radius) if linked is None else linked)
     rooted = firsts.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
