@@ -8,8 +8,8 @@ least `COVERAGE` of it, in whatever order its parts stand in the text.
 
 The benchmark's seeds are broadcast while the table holds no more than `ITEMS` items and `BYTES` bytes,
 which is checked; a larger one meets the texts in a shuffled join on seeds. Null and empty texts, and
-items of fewer than `SEED` words, match nothing. A repeated item row counts once; an item without an id
-is left out.
+items of fewer than `SEED` words, match nothing. A repeated item row counts once, different texts under one
+id count each; an item without an id is left out.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ class Items:
                 for i in self.owner[a:z].tolist():
                     pairs.setdefault(i, []).append(p)
             text = words[first[t] : first[t + 1]]
-            out[t] = [self._pair(text, i, np.array(p)) for i, p in sorted(pairs.items())]
+            out[t] = sorted((self._pair(text, i, np.array(p)) for i, p in pairs.items()), key=lambda o: tuple(o.values()))
         return out
 
     def _pair(self, text: np.ndarray, i: int, seeds: np.ndarray) -> dict:
@@ -158,11 +158,11 @@ class Items:
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", name: str = "overlaps",
              most_items: int = ITEMS, most_bytes: int = BYTES) -> DataFrame:
     """docs with the tilings of all benchmark items (item_id, text) that share a seed with the text."""
-    items = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    items = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if count > most_items or size > most_bytes:
-        return _overlaps_by_join(docs, items, key, text, name)
-    rows = items.orderBy("item_id").collect()
+        return _overlaps_by_join(docs, items, text, name)
+    rows = items.orderBy("item_id", "text").collect()
     index = docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], pa.array([r.text for r in rows], pa.string())))
 
     def start():
@@ -188,13 +188,16 @@ def _seeds(df: DataFrame, text: str) -> DataFrame:
     return with_columns(df, [T.StructField("_seeds", T.ArrayType(T.LongType()))], start)
 
 
-def _overlaps_by_join(docs: DataFrame, items: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """As `overlaps`, for a benchmark of any size: every step is a shuffled join. Keys must be unique."""
+def _overlaps_by_join(docs: DataFrame, items: DataFrame, text: str, name: str) -> DataFrame:
+    """As `overlaps`, for a benchmark of any size: every step is a shuffled join. Texts are told apart by
+    their hash alone, so keys may be null or repeated."""
     small_batches(docs.sparkSession)
-    of_docs = _seeds(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", F.explode("_seeds").alias("seed"))
-    of_items = _seeds(items.select("item_id", F.col("text").alias("_item")), "_item").select("item_id", F.explode("_seeds").alias("seed"))
-    pairs = of_docs.join(of_items, "seed").select("_key", "item_id").distinct()
-    both = pairs.join(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").join(items.select("item_id", F.col("text").alias("_item")), "item_id")
+    texts = docs.select(F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text")).where("_key is not null").dropDuplicates(["_key"])
+    known = items.select("item_id", F.sha2("text", 256).alias("_item_key"), F.col("text").alias("_item"))
+    of_docs = _seeds(texts, "_text").select("_key", F.explode("_seeds").alias("seed"))
+    of_items = _seeds(known.dropDuplicates(["_item_key"]), "_item").select("_item_key", F.explode("_seeds").alias("seed"))
+    pairs = of_docs.join(of_items, "seed").select("_key", "_item_key").distinct()
+    both = pairs.join(texts, "_key").join(known, "_item_key")
 
     def start():
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -206,7 +209,7 @@ def _overlaps_by_join(docs: DataFrame, items: DataFrame, key: str, text: str, na
 
     tiled = with_columns(both, [T.StructField("_tiled", OVERLAPS.elementType)], start)
     lists = tiled.where("_tiled is not null").groupBy("_key").agg(F.sort_array(F.collect_list("_tiled")).alias(name))
-    out = docs.drop(name).join(lists, F.col(key) == F.col("_key"), "left").drop("_key")
+    out = docs.drop(name).withColumn("_text_key", F.sha2(F.col(text), 256)).join(lists, F.col("_text_key") == F.col("_key"), "left").drop("_key", "_text_key")
     return out.withColumn(name, F.coalesce(name, F.array().cast(OVERLAPS)))
 
 

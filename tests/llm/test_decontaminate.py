@@ -63,6 +63,18 @@ def test_a_large_benchmark_is_joined(spark, docs_of, rng):
     assert D.leaks(docs_of([]), bench).count() == 0 and D.leaks(docs_of(texts), bench.limit(0)).count() == 0
 
 
+def test_both_paths_agree_on_null_and_repeated_ids(spark, rng):
+    one, other = " ".join(words(rng, 12)), " ".join(words(rng, 14))
+    bench = spark.createDataFrame([(1, one), (1, other), (1, one), (2, other), (None, one)], "item_id long, text string")
+    rows = [(None, "a " + one), (None, "b " + other), (5, "c " + one), (5, "c " + one), (5, "d " + other), (6, None), (None, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {"a " + one: [1], "b " + other: [1, 2], "c " + one: [1], "d " + other: [1, 2], "nothing": [], None: []}
+    for most in (100, 0):
+        found = D.overlaps(docs, bench, most_items=most).collect()
+        assert len(found) == len(rows)
+        assert all([o.item_id for o in r.overlaps if o.n_covered >= 12] == expected[r.text] for r in found), most
+
+
 def test_words_are_lowered_and_split():
     found, first = D.tokens(pa.array(["The CAT's-hat", "the cat s hat", "É", "é"]))
     assert found[:4].tolist() == found[4:8].tolist() and first.tolist() == [0, 4, 8, 9, 10] and found[8] == found[9]
