@@ -313,7 +313,7 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
         Rule("CARD", r"(?<![0-9])(?:(?:[0-9]{4}[-. /]\s?){3}[0-9]{1,7}|[0-9]{13,19})(?![0-9])", HIGH, 1.0, _card),
         Rule("MEDICAL_INSURANCE", r"(?<![0-9-])(?:[0-9]-[0-9]{10}|[0-9]{11})(?![0-9-])", HIGH, 0.9, keyword((r"건강\s*보험", r"의료\s*보험", "보험증"), 25)),
         Rule("PRESCRIPTION_ID", r"(?<![0-9])[0-9]{12}(?![0-9])", HIGH, 0.9, both(_issued, keyword(PRESCRIPTION_WORDS, 20))),
-        Rule("PRESCRIPTION_ID", r"(?<![A-Za-z0-9])[A-Za-z]{2,6}-[0-9][0-9A-Za-z-]{3,22}(?![A-Za-z0-9])", HIGH, 0.88, keyword(PRESCRIPTION_WORDS, 18)),
+        Rule("PRESCRIPTION_ID", r"(?<![A-Za-z0-9])[A-Za-z]{2,6}-[0-9][0-9A-Za-z-]{3,22}(?![A-Za-z0-9])", HIGH, 0.88, keyword(PRESCRIPTION_WORDS, 18), gate="digit"),
         Rule("PRESCRIPTION_ID", r"(?<![0-9])[0-9]{8}(?![0-9])", MEDIUM, 0.85, keyword(INSTITUTION_WORDS, 15)),
         Rule("PNU", rf"(?<![0-9])(?:{PARCEL_PROVINCES})[0-9]{{8}}[1-9](?!0000)[0-9]{{8}}(?![0-9])", LOW, 0.9),
         Rule("FAX", r"(?<![0-9+])0[0-9]{1,2}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{4}(?![0-9])", LOW, 0.85, keyword(FAX_WORDS, 12)),

@@ -127,3 +127,8 @@ def test_normalization(spark):
     rows = [r.spans for r in detect_normalized(df, include=["PHONE"]).collect()]
     assert rows[0][0].text == "０１０–12​34-５６78" and text[rows[0][0].start : rows[0][0].end] == rows[0][0].text
     assert rows[1][0].text == "010-1234-5678" and rows[2] == [] and rows[3] == []
+
+
+def test_prescription_without_four_digits_in_a_row(spark):
+    found = detect(spark.createDataFrame([("처방번호 AB-1A2-3C4",)], "text string"), include=["PRESCRIPTION_ID"]).first()
+    assert [x.text for x in found.spans] == ["AB-1A2-3C4"]
