@@ -1,15 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are lower-cased and split at every ASCII character that is no letter or
-digit. Runs of `SEED` shared words are the seeds that pair a text with an item. For each such pair the
-longest unmarked common runs are marked again and again, found by running Karp-Rabin, until none of at
-least `SEED` words is left; marked runs never overlap. An item leaks if its marked words make up at
-least `COVERAGE` of it, in whatever order its parts stand in the text.
+digit. Runs of `SEED` shared words are the seeds that pair a text with an item; for an item of fewer words
+that is all of it. For each such pair the longest unmarked common runs are marked again and again, found by
+running Karp-Rabin, until none of at least a seed's size is left; marked runs never overlap. An item leaks
+if its marked words make up at least `COVERAGE` of it, in whatever order its parts stand in the text.
 
 The benchmark's seeds are broadcast while the table holds no more than `ITEMS` items and `BYTES` bytes,
-which is checked; a larger one meets the texts in a shuffled join on seeds. Null and empty texts, and
-items of fewer than `SEED` words, match nothing. A repeated item row counts once, different texts under one
-id count each; an item without an id is left out.
+which is checked; a larger one meets the texts in a shuffled join on seeds, with the same rows. Null and empty
+texts and items match nothing. A repeated item row counts once, different texts under one id count each; an
+item without an id is left out. Rows repeated under one doc_id, and those without one, are texts like others.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garim.llm.shared import Texts, U, small_batches, with_columns, xxh64
+from garim.llm.shared import Texts, U, discard, saved, small_batches, with_columns, xxh64
 
 SEED = 5
 COVERAGE = 0.5
 #: Bounds on a benchmark that is broadcast.
 ITEMS = 50_000
 BYTES = 32 << 20
+#: Candidates that a text of the joined path is tiled with at once, about.
+TOGETHER = 500
 
 _BETWEEN = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _STEP = 0x9E3779B97F4A7C15
@@ -114,60 +116,74 @@ def _near(text: np.ndarray, seeds: np.ndarray, reach: int) -> np.ndarray:
     return out[keep]
 
 
+def seed_size(n_words: int) -> int:
+    return min(SEED, n_words)
+
+
+def seeds(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words; those of different sizes never meet."""
+    return Windows(words).of(size) ^ U(SEED - size)
+
+
 class Items:
-    """Benchmark items as word hashes with a sorted index of their seeds."""
+    """Benchmark items as word hashes with a sorted index of their seeds for each size of seed."""
 
     def __init__(self, ids: list[int], column: pa.Array):
         words, first = tokens(column)
         self.ids = ids
         self.words = [words[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
-        seeds = [Windows(w).of(SEED) for w in self.words]
-        owner = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
-        flat = np.concatenate(seeds) if seeds else np.zeros(0, U)
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.owner = flat[order], owner[order]
-
-    def overlaps(self, column: pa.Array) -> list[list[dict]]:
+        self.index: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for size in range(1, SEED + 1):
+            mine = [i for i, w in enumerate(self.words) if len(w) and seed_size(len(w)) == size]
+            if mine:
+                found = [seeds(self.words[i], size) for i in mine]
+                owner, flat = np.repeat(mine, [len(s) for s in found]), np.concatenate(found)
+                order = np.argsort(flat, kind="stable")
+                self.index.append((size, flat[order], owner[order]))
+
+    def overlaps(self, column: pa.Array, least: float = 0.0) -> list[list[dict]]:
+        """For each text the items that share a seed with it and of which at least this share is covered."""
         words, first = tokens(column)
-        every = Windows(words).of(SEED)
-        ends = np.repeat(first[1:], np.diff(first))[: len(every)]
-        if not len(every) or not len(self.seeds):
-            return [[] for _ in range(len(column))]
-        slot = np.searchsorted(self.seeds, every)
-        hit = (self.seeds[np.minimum(slot, len(self.seeds) - 1)] == every) & (np.arange(len(every)) + SEED <= ends)
-        out: list[list[dict]] = [[] for _ in range(len(column))]
-        at = np.flatnonzero(hit)
-        text_of = np.searchsorted(first, at, side="right") - 1
-        for t in np.unique(text_of).tolist():
-            mine = at[text_of == t]
-            low, high = slot[mine], np.searchsorted(self.seeds, every[mine], side="right")
-            pairs: dict[int, list[int]] = {}
-            for p, a, z in zip((mine - first[t]).tolist(), low.tolist(), high.tolist(), strict=True):
-                for i in self.owner[a:z].tolist():
-                    pairs.setdefault(i, []).append(p)
+        pairs: list[dict[int, list[int]]] = [{} for _ in range(len(column))]
+        for size, known, owner in self.index:
+            every = seeds(words, size)
+            if not len(every):
+                continue
+            slot = np.searchsorted(known, every)
+            ends = np.repeat(first[1:], np.diff(first))[: len(every)]
+            at = np.flatnonzero((known[np.minimum(slot, len(known) - 1)] == every) & (np.arange(len(every)) + size <= ends))
+            text_of = np.searchsorted(first, at, side="right") - 1
+            last = np.searchsorted(known, every[at], side="right")
+            for t, p, a, z in zip(text_of.tolist(), (at - first[text_of]).tolist(), slot[at].tolist(), last.tolist(), strict=True):
+                for i in owner[a:z].tolist():
+                    pairs[t].setdefault(i, []).append(p)
+        out: list[list[dict]] = []
+        for t, mine in enumerate(pairs):
             text = words[first[t] : first[t + 1]]
-            out[t] = sorted((self._pair(text, i, np.array(p)) for i, p in pairs.items()), key=lambda o: tuple(o.values()))
+            found = (self._pair(text, i, np.array(p)) for i, p in mine.items())
+            out.append(sorted((o for o in found if o["n_covered"] >= least * o["n_tokens"]), key=lambda o: tuple(o.values())))
         return out
 
-    def _pair(self, text: np.ndarray, i: int, seeds: np.ndarray) -> dict:
+    def _pair(self, text: np.ndarray, i: int, at: np.ndarray) -> dict:
         item = self.words[i]
-        covered, tiles = tile(_near(text, seeds, len(item)), item)
+        covered, tiles = tile(_near(text, at, len(item)), item, seed_size(len(item)))
         return {"item_id": self.ids[i], "n_tokens": len(item), "n_covered": covered, "n_tiles": tiles}
 
 
-def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", name: str = "overlaps",
-             most_items: int = ITEMS, most_bytes: int = BYTES) -> DataFrame:
-    """docs with the tilings of all benchmark items (item_id, text) that share a seed with the text."""
+def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", name: str = "overlaps", least: float = 0.0,
+             most_items: int = ITEMS, most_bytes: int = BYTES) -> DataFrame:
+    """docs with the tilings of all benchmark items (item_id, text) that share a seed with the text and of
+    which at least the share `least` is covered."""
     items = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if count > most_items or size > most_bytes:
-        return _overlaps_by_join(docs, items, text, name)
+        return _overlaps_by_join(docs, items, text, name, least)
     rows = items.orderBy("item_id", "text").collect()
     index = docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], pa.array([r.text for r in rows], pa.string())))
 
     def start():
         found = index.value
-        return lambda batch: [pa.array(found.overlaps(batch.column(text)), pa.list_(_STRUCT))]
+        return lambda batch: [pa.array(found.overlaps(batch.column(text), least), pa.list_(_STRUCT))]
 
     return with_columns(docs, [T.StructField(name, OVERLAPS)], start)
 
@@ -175,51 +191,90 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 _STRUCT = pa.struct([(n, pa.int64()) for n in ("item_id", "n_tokens", "n_covered", "n_tiles")])
 
 
-def _seeds(df: DataFrame, text: str) -> DataFrame:
-    """df with the distinct seeds of each text."""
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """items with the number of words `_n` and the seeds, one for each place."""
+
+    def start():
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            words, first = tokens(batch.column("_item"))
+            parts = [words[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
+            found = [seeds(w, seed_size(len(w))).view(np.int64) if len(w) else [] for w in parts]
+            return [pa.array([len(w) for w in parts], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+
+        return make
+
+    return with_columns(items, [T.StructField("_n", T.IntegerType()), T.StructField("_seeds", T.ArrayType(T.LongType()))], start)
+
+
+def _text_seeds(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """texts with the distinct seeds of these sizes."""
 
     def start():
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
-            words, first = tokens(batch.column(text))
-            return [pa.array([np.unique(Windows(words[a:z]).of(SEED)).view(np.int64) for a, z in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))]
+            words, first = tokens(batch.column("_text"))
+            parts = [words[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
+            found = [np.unique(np.concatenate([seeds(w, s) for s in sizes])).view(np.int64) for w in parts]
+            return [pa.array(found, pa.list_(pa.int64()))]
 
         return make
 
-    return with_columns(df, [T.StructField("_seeds", T.ArrayType(T.LongType()))], start)
+    return with_columns(texts, [T.StructField("_seeds", T.ArrayType(T.LongType()))], start)
 
 
-def _overlaps_by_join(docs: DataFrame, items: DataFrame, text: str, name: str) -> DataFrame:
+def _overlaps_by_join(docs: DataFrame, items: DataFrame, text: str, name: str, least: float) -> DataFrame:
     """As `overlaps`, for a benchmark of any size: every step is a shuffled join. Texts are told apart by
-    their hash alone, so keys may be null or repeated."""
+    their hash alone, so keys may be null or repeated.
+
+    A tile of k words or more holds at least a k-th of its length in shared places of seeds, so a text that covers
+    the share `least` of an item shares at least t = least * words / k of its P places: one of the P - t + 1
+    rarest is among them, and the others, where the seeds that everything shares are, need not be joined.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text")).where("_key is not null").dropDuplicates(["_key"])
     known = items.select("item_id", F.sha2("text", 256).alias("_item_key"), F.col("text").alias("_item"))
-    of_docs = _seeds(texts, "_text").select("_key", F.explode("_seeds").alias("seed"))
-    of_items = _seeds(known.dropDuplicates(["_item_key"]), "_item").select("_item_key", F.explode("_seeds").alias("seed"))
-    pairs = of_docs.join(of_items, "seed").select("_key", "_item_key").distinct()
-    both = pairs.join(texts, "_key").join(known, "_item_key")
+    seeded = saved(_item_seeds(known.dropDuplicates(["_item_key"]).drop("item_id")).where("_n > 0").select("_item_key", "_n", F.explode("_seeds").alias("seed")), "item-seeds")
+    sizes = [r.size for r in seeded.select(F.least("_n", F.lit(SEED)).alias("size")).distinct().collect()]  # at most SEED of them
+    distinct = saved(seeded.select("seed").distinct(), "seeds")
+    of_docs = _text_seeds(texts, sizes).select("_key", F.explode("_seeds").alias("seed")) if sizes else texts.select("_key", F.lit(0).cast("long").alias("seed"))
+    shared = saved(of_docs.join(distinct, "seed"), "shared-seeds")
+    # Written first: joins in the aggregates' own stages could not be split where a seed is hot.
+    weight = saved(shared.groupBy("seed").agg(F.count("*").alias("_texts")), "weights")
+    size = F.least("_n", F.lit(SEED))
+    needed = F.greatest(F.ceil(F.lit(least) * F.col("_n") / size), F.lit(1))
+    nth = F.row_number().over(Window.partitionBy("_item_key").orderBy("_texts", "seed"))
+    rare = seeded.join(weight, "seed", "left").withColumn("_texts", F.coalesce("_texts", F.lit(0))).withColumn("_nth", nth)
+    rare = saved(rare.where(F.col("_nth") <= F.col("_n") - size + 2 - needed).where("_texts > 0").select("_item_key", "seed").distinct(), "rare")
+    pairs = saved(shared.join(rare, "seed").select("_key", "_item_key").distinct(), "candidates")
+    # The items of a text come in groups, so that its text is sent once for many of them.
+    many = saved(pairs.groupBy("_key").agg(F.count("*").alias("_many")), "many")
+    dealt = pairs.join(many, "_key").withColumn("_part", F.pmod(F.xxhash64("_item_key"), F.ceil(F.col("_many") / TOGETHER))).drop("_many")
+    grouped = dealt.join(known, "_item_key").groupBy("_key", "_part").agg(F.collect_list(F.struct("item_id", "_item")).alias("_items"))
+    both = grouped.join(texts, "_key").drop("_part")
 
     def start():
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
-            rows = zip(batch.column("_text"), batch.column("item_id").to_pylist(), batch.column("_item"), strict=True)
-            found = [Items([i], pa.array([x.as_py()])).overlaps(pa.array([t.as_py()], pa.string()))[0] for t, i, x in rows]
-            return [pa.array([f[0] if f else None for f in found], _STRUCT)]
+            out = []
+            for t, asked in zip(batch.column("_text"), batch.column("_items").to_pylist(), strict=True):
+                index = Items([a["item_id"] for a in asked], pa.array([a["_item"] for a in asked], pa.string()))
+                out.append(index.overlaps(pa.array([t.as_py()], pa.string()), least)[0])
+            return [pa.array(out, pa.list_(_STRUCT))]
 
         return make
 
-    tiled = with_columns(both, [T.StructField("_tiled", OVERLAPS.elementType)], start)
-    lists = tiled.where("_tiled is not null").groupBy("_key").agg(F.sort_array(F.collect_list("_tiled")).alias(name))
+    tiled = with_columns(both, [T.StructField("_tiled", OVERLAPS)], start).select("_key", "_tiled")
+    lists = saved(tiled.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("_tiled"))).alias(name)), "overlaps")
     out = docs.drop(name).withColumn("_text_key", F.sha2(F.col(text), 256)).join(lists, F.col("_text_key") == F.col("_key"), "left").drop("_key", "_text_key")
+    for old in (seeded, distinct, shared, weight, rare, pairs, many):
+        discard(old)
     return out.withColumn(name, F.coalesce(name, F.array().cast(OVERLAPS)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, n_tiles, coverage) of every item that leaks into a text."""
-    found = overlaps(docs.select("doc_id", "text"), items).select("doc_id", F.inline("overlaps"))
-    return found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).where(F.col("coverage") >= coverage)
+    found = overlaps(docs.select("doc_id", "text"), items, least=coverage).select("doc_id", F.inline("overlaps"))
+    return found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs whose text no item leaks into."""
-    leak = F.exists("_overlaps", lambda o: o["n_covered"] >= coverage * o["n_tokens"])
-    return overlaps(docs, items, name="_overlaps").where(~leak).drop("_overlaps")
+    return overlaps(docs, items, name="_overlaps", least=coverage).where(F.size("_overlaps") == 0).drop("_overlaps")

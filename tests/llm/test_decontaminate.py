@@ -43,7 +43,7 @@ def test_leaks_whole_reordered_and_partial(spark, docs_of, rng):
         " ".join(words(rng, 50) + item + words(rng, 50)), "Intro: " + half.upper() + "!", " ".join(item[:12]), " ".join(item[:24]),
         None, "", " ".join(words(rng, 30000) + item), " ".join(words(rng, 200)),
     ]
-    items = spark.createDataFrame([(7, ", ".join(item)), (7, ", ".join(item)), (8, None), (9, ""), (10, "too short"), (None, "a b c d e f")], "item_id long, text string")
+    items = spark.createDataFrame([(7, ", ".join(item)), (7, ", ".join(item)), (8, None), (9, ""), (10, "ten words"), (None, "a b c d e f")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in D.leaks(docs_of(texts), items).collect()}
     assert set(found) == {(0, 7), (1, 7), (3, 7), (6, 7)}
     assert found[0, 7].coverage == 1.0 and found[1, 7].coverage == 1.0 and found[1, 7].n_tiles == 2 and found[3, 7].n_covered == 24
@@ -78,3 +78,35 @@ def test_both_paths_agree_on_null_and_repeated_ids(spark, rng):
 def test_words_are_lowered_and_split():
     found, first = D.tokens(pa.array(["The CAT's-hat", "the cat s hat", "É", "é"]))
     assert found[:4].tolist() == found[4:8].tolist() and first.tolist() == [0, 4, 8, 9, 10] and found[8] == found[9]
+
+
+def every_leak(rows, items, coverage):
+    """(text, item_id) of all leaks by tiling every text with every item."""
+    out = []
+    for text in rows:
+        (words_of, (_, n)) = D.tokens(pa.array([text]))
+        for i, item in items:
+            wanted, (_, m) = D.tokens(pa.array([item]))
+            if m and brute_tile(words_of.tolist(), wanted.tolist(), min(D.SEED, m))[0] >= coverage * m:
+                out.append((text, i))
+    return sorted(out)
+
+
+def test_whole_query_against_brute_force(spark, rng):
+    common = " ".join(words(rng, 6))  # a run that most items and texts share
+    items = [(i, " ".join(words(rng, rng.randint(1, 20), 40)) + (" " + common if i % 3 else "")) for i in range(40)] + [(40, ""), (41, "w1 w2")]
+    texts = []
+    for _ in range(60):
+        text = words(rng, rng.randint(0, 10), 40)
+        for _, item in rng.sample(items, rng.randint(0, 3)):
+            part = item.split()
+            text += rng.choice([part, part[: len(part) // 2 + 1], part[len(part) // 2 :] + part[: len(part) // 2]]) + words(rng, 2)
+        texts.append(" ".join(text + rng.choice([[], common.split()])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, seed string").selectExpr("cast(null as long) as doc_id", "text", "seed")
+    for coverage in (0.5, 0.9):
+        expected = every_leak(texts, items, coverage)
+        for most in (100, 0):
+            found = D.overlaps(docs, bench, least=coverage, most_items=most).collect()
+            assert sorted((r.text, o.item_id) for r in found for o in r.overlaps) == expected, (coverage, most)
+            assert len(found) == len(texts)
