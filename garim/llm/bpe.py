@@ -3,13 +3,19 @@
 Merging keeps the symbols of a word in a doubly linked list and a priority queue of merge ranks;
 an entry whose pair has changed meanwhile is stale and skipped. Decoding joins vocabulary strings.
 Null text counts as empty, and an empty text has no tokens and decodes to the empty string. Special
-tokens written out in a text become their ids, as in the tokenizers library.
+tokens written out in a text become their ids, as in the tokenizers library. A repeated row is coded again.
+
+Words are normalised (NFC, lower case) and split by Python's Unicode tables. The library's are of other
+versions: words with a character on which they differ (`odd_characters`: not assigned in Python's, or
+ordered or composed otherwise) are normalised and split by its tables, and then merged like any other.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -34,6 +40,44 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def odd_characters() -> re.Pattern:
+    """Characters that the library's Unicode tables may treat otherwise than Python's. Found by asking it: about the
+    order of each combining mark beside another, and about each pair that composes."""
+    from tokenizers import normalizers
+
+    theirs, ours = normalizers.NFC().normalize_str, lambda t: unicodedata.normalize("NFC", t)
+    odd = set()
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.category(c) == "Cn":
+            odd.add(c)
+        elif unicodedata.combining(c):
+            # Classes 1, 216 and 240 stand below, amid and above the others.
+            if any(theirs(t) != ours(t) for t in ("a" + c + "\u0334", "a\u0f39" + c, "a" + c + "\u0f39", "a\u0345" + c)):
+                odd.add(c)
+        pair = unicodedata.decomposition(c).split()
+        if len(pair) == 2 and pair[0][0] != "<":
+            t = "".join(chr(int(x, 16)) for x in pair)
+            if theirs(t) != ours(t):
+                odd |= {c, t[1]}
+    codes, ranges, at = sorted(map(ord, odd)), [], 0
+    while at < len(codes):
+        to = at
+        while to + 1 < len(codes) and codes[to + 1] == codes[to] + 1:
+            to += 1
+        ranges.append(rf"\U{codes[at]:08x}-\U{codes[to]:08x}")
+        at = to + 1
+    return re.compile("[" + "".join(ranges) + "]")
+
+
+@lru_cache(maxsize=2)
+def _library_splitter(pattern: str):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -55,6 +99,7 @@ class Codec:
         self._letters = _byte_letters()
         self._specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self._pattern = pattern
         self._pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self._of_chunk: dict[str, bytes] = {}
         self._of_word: dict[str, bytes] = {}
@@ -72,26 +117,26 @@ class Codec:
         queue = []
         for i in range(n - 1):
             if found := merges.get(symbol[i] << 20 | symbol[i + 1]):
-                queue.append(found[0] << 24 | i)
+                queue.append(found[0] << 40 | i)
         heapq.heapify(queue)
         while queue:
             entry = heapq.heappop(queue)
-            i = entry & 0xFFFFFF
+            i = entry & ((1 << 40) - 1)
             j = after[i]
             if symbol[i] < 0 or j < 0:
                 continue  # stale: the symbol is gone
             found = merges.get(symbol[i] << 20 | symbol[j])
-            if found is None or found[0] != entry >> 24:
+            if found is None or found[0] != entry >> 40:
                 continue  # stale: another pair stands here now
             symbol[i], symbol[j] = found[1], -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
                 if right := merges.get(symbol[i] << 20 | symbol[k]):
-                    heapq.heappush(queue, right[0] << 24 | i)
+                    heapq.heappush(queue, right[0] << 40 | i)
             h = before[i]
             if h >= 0 and (left := merges.get(symbol[h] << 20 | symbol[i])):
-                heapq.heappush(queue, left[0] << 24 | h)
+                heapq.heappush(queue, left[0] << 40 | h)
         return [s for s in symbol if s >= 0]
 
     def _word(self, word: str) -> bytes:
@@ -103,15 +148,25 @@ class Codec:
     def _chunk(self, chunk: str) -> bytes:
         found = self._of_chunk.get(chunk)
         if found is None:
-            found = self._of_chunk[chunk] = b"".join(map(self._word, self._pieces.findall(chunk)))
+            found = self._of_chunk[chunk] = b"".join(map(self._word, self._split(chunk)))
         return found
 
-    def _plain(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str]:
+        """Normalised pre-tokens."""
         if not text.isascii():
+            if odd_characters().search(text):
+                return self._split_by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-        text = text.lower()
+        return self._pieces.findall(text.lower())
+
+    def _split_by_library(self, text: str) -> list[str]:
+        normalizer, splitter = _library_splitter(self._pattern)
+        return [piece for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
+
+    def _plain(self, text: str) -> bytes:
+        # No character composes with white space, so chunks are normalised one by one.
         if _ODD_SPACES.search(text):  # white space for str.split, but not for the pattern
-            return b"".join(map(self._word, self._pieces.findall(text)))
+            return b"".join(map(self._word, self._split(text)))
         return b"".join(map(self._chunk, text.split()))
 
     def encode(self, text: str | None) -> np.ndarray:

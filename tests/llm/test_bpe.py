@@ -48,3 +48,24 @@ def test_columns_and_empty_table(spark, docs_of):
     row = bpe.decode(bpe.encode(clash, PATH), PATH).first()
     assert row.token_ids and row.decoded == "a</w> b</w>" and row.lang == "en"
     assert bpe.encode(docs_of([]), PATH).count() == 0
+
+
+def test_every_code_point_as_the_library_has_it(library):
+    codec = bpe.codec(PATH)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(codes), 4096):
+        texts = [f"a{chr(c)}b" for c in codes[start : start + 4096]]
+        for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert codec.encode(text).tolist() == expected.ids, ascii(text)
+        codec._of_chunk.clear()
+
+
+def test_pairs_of_rare_characters(library, rng):
+    codec = bpe.codec(PATH)
+    marks = [c for c in map(chr, range(0x110000)) if bpe.unicodedata.combining(c)]
+    halves = [chr(int(p, 16)) for c in map(chr, range(0x110000)) for p in bpe.unicodedata.decomposition(c).split() if p[0] != "<"]
+    texts = ["a\u0f39\U00011a47"]
+    texts += ["".join(rng.choice(rng.choice((marks, halves, ["a", "Σ", " ", "\u0378", "\U0001c895", "\x1c"]))) for _ in range(rng.randint(2, 5))) for _ in range(40000)]
+    for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(text).tolist() == expected.ids, ascii(text)
+
