@@ -6,8 +6,9 @@ a frame of its own, so one can be read without the others. Archives go to the sh
 names for each attempt of a task; the manifest lists those of the attempts that count.
 
 Of pages with equal payloads of at least `REVISIT` bytes, that with the largest id is a response and the
-others are revisits of it. Groups are found on (digest, length, id) rows, pre-aggregated, and only the
-revisits' ids are joined to the pages, by page: a payload that a third of all pages share makes no hot key.
+others are revisits of it. Groups are found on (digest, length, id) rows, pre-aggregated and written before they
+are joined, so that the join can be split where a third of all pages share a payload; only the revisits' ids
+are joined to the pages, by page.
 
 Null html is an empty payload; a null url gives a record without a target; a page without an id is always
 a response. A page row that is repeated gives as many records. An empty table gives no archive.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,8 +34,11 @@ from garim.llm.shared import saved, shared_folder, small_batches
 ARCHIVE = 8 << 20
 REVISIT = 1000
 DICTIONARY = 16 << 10
-#: Bytes of an archive's records that its dictionary is built from, spread evenly.
+#: Bytes of an archive's records that its dictionary is built from, spread evenly, and of each of them at most.
 TRAINED_ON = 1 << 20
+OF_EACH = 64 << 10
+#: Archives that one task reads back, about.
+TOGETHER = 4
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,7 +93,7 @@ def parsed(data: bytes) -> dict:
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
     """A dictionary built from records spread over the archive; too few to train on are used as they are."""
     every = max(1, sum(map(len, records)) // TRAINED_ON)
-    samples = [r[: 64 << 10] for r in records[::every]]
+    samples = [r[:OF_EACH] for r in records[::every]]
     if len(samples) >= 16:
         try:
             return zstandard.train_dictionary(DICTIONARY, samples, k=512, d=8)
@@ -129,7 +134,7 @@ def revisits(pages: DataFrame, least: int = REVISIT) -> DataFrame:
         "page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")
     ).where(F.col("size") >= least)
     groups = narrow.groupBy("payload_digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    shared = groups.where("n > 1").drop("n")
+    shared = saved(groups.where("n > 1").drop("n"), "shared-payloads")
     return narrow.join(shared, ["payload_digest", "size"]).where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
@@ -167,7 +172,7 @@ def write(pages: DataFrame, folder: str, least: int = REVISIT, archive: int = AR
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives that a manifest lists, a task for each few of them."""
+    """The records of the archives that a manifest lists, a task for each `TOGETHER` of them or fewer."""
     small_batches(manifest.sparkSession)
     names = ["page_id", "url", *["payload"] * payloads, "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = {"payload": ("binary", pa.binary()), "page_id": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "refers_to": ("long", pa.int64())}
@@ -188,7 +193,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spread = manifest.select("path").repartition("path")
+    # The count of partitions is given: lists of paths are small, and adaptive execution would merge them into one.
+    spread = manifest.select("path").repartition(max(1, math.ceil(manifest.count() / TOGETHER)), "path")
     return spread.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, ('string',))[0]}" for n in names))
 
 

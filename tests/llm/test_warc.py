@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from garim.llm import warc
 
@@ -50,3 +51,12 @@ def test_files_hold_urls_and_payloads(spark, tmp_path):
     assert sum(r.n_records for r in manifest.collect()) == 2 and len(list((tmp_path / "archives").glob("*.warc.zst"))) >= 2
     found = {r.page_id: r for r in warc.read(manifest).collect()}
     assert found[1].url == "http://a/é" and bytes(found[1].payload) == b"<p>x</p>" * 999 and found[2].url is None
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, f"<p>{i}</p>" * 200) for i in range(200)], "page_id long, url string, html string")
+    manifest = warc.write(df, f"file://{tmp_path}/many", archive=4000)
+    found = warc.read(manifest)
+    assert manifest.count() > 8 * warc.TOGETHER
+    tasks = found.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in tasks) == list(range(200)) and len({r.task for r in tasks}) > 4
