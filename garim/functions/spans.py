@@ -20,6 +20,33 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Entries that are added up at once.
+_BLOCK = 256
+
+
+def running(sizes: Column) -> Column:
+    """For each entry of an array the sum of those before it. Sums within blocks and of blocks are taken apart, since
+    a fold that grows one array copies it at every step."""
+    none = F.array().cast("array<int>")
+
+    def grow(state: Column, size: Column) -> Column:
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def blocks(every: Column) -> Column:
+        count = F.floor((F.size(every) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda b: F.aggregate(F.slice(every, b * _BLOCK + 1, F.lit(_BLOCK)), begin, grow))
+
+    def joined(parts: Column) -> Column:
+        starts = F.aggregate(F.transform(parts, lambda p: p["at"]), begin, grow, lambda s: s["out"])
+        return F.flatten(F.zip_with(parts, starts, lambda p, at: F.transform(p["out"], lambda x: x + at)))
+
+    # Arrays are bound to variables, so that each is worked out once.
+    every = F.filter(F.array(sizes), lambda x: F.size(x) > 0)
+    return F.flatten(F.transform(F.transform(every, blocks), joined))
+
+
 def find_all(column: str, pattern: str, lead: int | None = None, value: int = 0, label: str = "", risk: int = 0, confidence: float = 0.0, rank: int = 0) -> Column:
     """A span for each of the leftmost matches that don't overlap. `value` is the group that counts and
     `lead` the one that stands right before it, at the match's start (None: nothing stands there).
