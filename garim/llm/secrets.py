@@ -1,42 +1,52 @@
 """Secret scan in DataFrame functions alone: fixed patterns, and entropy over sliding windows.
 
 Base spans come from three patterns (`assign`, `access`, `hex`). Besides, every run of at least
-`WINDOW` token characters is a candidate string. A window of `WINDOW` characters slides over it; the
-sum of n * log2(n) over the counts n of its characters is kept up to date from the count of the
-character that leaves and of the one that enters. Windows whose Shannon entropy reaches the limit of
-the candidate's character class (hex, letters and digits, base64) are hot; hot windows that touch make
-one `entropy` span. Candidates on the allow list (`ALLOWED`: words of letters alone, numbers, UUIDs,
-placeholders) are suppressed, and so are hot spans that touch a base span, which stays as it is.
-
-The sum is kept in whole millionths, so that it doesn't drift. Null text counts as empty; an empty text
-has no spans. Offsets are code points, ends exclusive. All work stays in the row: no shuffle.
+`WINDOW` token characters is a candidate string. A window of `WINDOW` characters slides over it and carries the
+count of each character, and the sum of n * log2(n) over these counts; both are kept up to date from the
+character that leaves and the one that enters. Windows whose Shannon entropy reaches the limit of the
+candidate's character class (hex, letters and digits, base64) are hot; hot windows that touch make one `entropy`
+span. Candidates on the allow list (`ALLOWED`: runs of letters that look like words, numbers, UUIDs) are
+suppressed, and so are hot spans with a placeholder in them, unless a path part of `WINDOW` characters or more has
+none. Base spans are cut out of hot spans and stay as they
+are; what is left of a hot span counts if it has at least `LEAST_LEFT` characters.
+
+The sum is kept in whole millionths, so that it doesn't drift. Null text counts as empty; an empty text has no
+spans; a repeated row has its spans again. Offsets are code points, ends exclusive. All work stays in the row: no
+shuffle, and time in proportion to a text's length.
 """
 
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The base patterns.
+from garim.functions.spans import running
+
+# The base patterns. The last two match at once what has the least length, with the same spans.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+LEAST_ASSIGN = 6
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+LETTERS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Character classes of candidates, narrowest first, and the entropy in bits that makes a window hot.
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.65), (r"", 3.85))
 ALLOWED = (
-    r"^[A-Za-z]*[-_/=+A-Za-z]*$|^[-_/=+0-9]+$"
+    r"^[-_/=+]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?![A-Za-z]))[-_/=+]*+)*+$|^[-_/=+0-9]++$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|(?i:example|placeholder|dummy|sample|xxxx|your[-_])"
 )
+PLACEHOLDER = r"(?i)example|placeholder|dummy|sample|xxxx|your[-_]"
+LEAST_LEFT = 8
 _UNIT = 1_000_000
 _SUMS = [round(_UNIT * n * math.log2(n)) if n else 0 for n in range(WINDOW + 2)]
+#: Counts of that many letters stand in one long.
+_BITS, _PACKED = 5, 12
 NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
 
@@ -45,95 +55,139 @@ def _limit(bits: float) -> int:
     return math.floor(_UNIT * WINDOW * (math.log2(WINDOW) - bits))
 
 
-def matches(text: Column, pattern: str, present: str) -> Column:
+def matches(text: Column, pattern: str) -> Column:
     """(start, end, found) of all leftmost matches that don't overlap. The text between matches and the
-    matches take turns, so positions are sums of lengths. `present` holds in every text with a match
-    that counts; others are not looked at any further."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    matches take turns, so positions are sums of lengths."""
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"),
-        )
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        turns = F.zip_with(found, between, lambda m, g: F.struct(m.alias("found"), F.length(g).alias("gap"), F.length(m).alias("size")))
 
-    turns = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("found")))
-    folded = F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(present), folded).otherwise(none)
+        def of_turns(t: Column) -> Column:
+            starts = running(F.transform(t, lambda x: x["gap"] + x["size"]))
+            start = lambda x, at: at + x["gap"]
+            return F.zip_with(t, starts, lambda x, at: F.struct(start(x, at).alias("start"), (start(x, at) + x["size"]).alias("end"), x["found"].alias("found")))
 
+        return F.transform(F.array(turns), of_turns)[0]
 
-def _kind(found: Column, number: int, keep) -> Column:
-    return F.transform(
-        F.filter(found, keep), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"))
-    )
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)[0]
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _kind(found: Column, number: int) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
 
 
 def hot_windows(letters: Column, limit: Column) -> Column:
-    """(start, end) within a candidate, given as an array of letters, of where its entropy reaches the
-    limit. Both should be columns or fields: what is computed here is computed anew for each letter."""
+    """(start, end) within a candidate, given as places in `LETTERS` from 0, of where its entropy reaches the limit.
+    Both should be columns or fields: what is computed here is computed anew for each letter."""
     sums = F.array(*[F.lit(s) for s in _SUMS])
     none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def times(from_: Column, size: Column, letter: Column) -> Column:
-        return F.size(F.filter(F.slice(letters, from_, size), lambda x: x == letter))
+    longs = [f"c{k}" for k in range(math.ceil(len(LETTERS) / _PACKED))]
+
+    def shift(letter: Column) -> Column:
+        return (letter % _PACKED) * _BITS
+
+    def count(state: Column, letter: Column) -> Column:
+        held = state[longs[-1]]
+        for k, name in reversed(list(enumerate(longs[:-1]))):
+            held = F.when(letter < (k + 1) * _PACKED, state[name]).otherwise(held)
+        return F.call_function("shiftright", held, shift(letter)).bitwiseAND(F.lit(31)).cast("int")
+
+    def added(state: Column, letter: Column, one: int) -> list[Column]:
+        step = F.call_function("shiftleft", F.lit(one).cast("long"), shift(letter))
+        word = F.floor(letter / _PACKED)
+        return [(state[n] + F.when(word == k, step).otherwise(F.lit(0).cast("long"))).alias(n) for k, n in enumerate(longs)]
+
+    def leave(state: Column, i: Column) -> Column:
+        out = F.element_at(letters, i - WINDOW)
+        n = count(state, out)
+        less = F.struct((state["sum"] + F.element_at(sums, n) - F.element_at(sums, n + 1)).alias("sum"), *added(state, out, -1))
+        same = F.struct(state["sum"].alias("sum"), *[state[n].alias(n) for n in longs])
+        return F.when(i > WINDOW, less).otherwise(same)
+
+    def enter(state: Column, i: Column) -> Column:
+        letter = F.element_at(letters, i)
+        n = count(state, letter)
+        return F.struct((state["sum"] + F.element_at(sums, n + 2) - F.element_at(sums, n + 1)).alias("sum"), *added(state, letter, 1))
 
     def step(state: Column, i: Column) -> Column:
-        w = F.lit(WINDOW)
-        out, into = F.element_at(letters, i - w), F.element_at(letters, i)
-        leaving = times(i - w, w, out)
-        left = F.when(i > w, F.element_at(sums, leaving) - F.element_at(sums, leaving + 1)).otherwise(0)
-        start = F.greatest(i - w + 1, F.lit(1))
-        entering = F.when(i > 1, times(start, i - start, into)).otherwise(0)
-        total = state["sum"] + left + F.element_at(sums, entering + 2) - F.element_at(sums, entering + 1)
-        last = F.element_at(state["out"], -1)
-        here = F.struct((i - w).alias("start"), i.alias("end"))
-        grown = F.when(
-            (F.size(state["out"]) > 0) & (last["end"] >= i - w),
-            F.concat(F.slice(state["out"], F.lit(1), F.size(state["out"]) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end")))),
-        ).otherwise(F.concat(state["out"], F.array(here)))
-        return F.struct(total.alias("sum"), F.when((i >= w) & (total <= limit), grown).otherwise(state["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("sum"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(letters)), begin, step, lambda s: s["out"])
+        counted = F.transform(F.array(leave(state["now"], i)), lambda s: enter(s, i))
+        return F.transform(counted, lambda now: marked(state, now, i))[0]
+
+    def marked(state: Column, now: Column, i: Column) -> Column:
+        hot = (i >= WINDOW) & (now["sum"] <= limit)
+        on = state["end"] >= i - WINDOW
+        closed = F.concat(state["out"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end"))))
+        return F.struct(
+            now.alias("now"),
+            F.when(hot & ~on, i - WINDOW).otherwise(state["start"]).alias("start"),
+            F.when(hot, i).otherwise(state["end"]).alias("end"),
+            F.when(hot & ~on & (state["end"] >= 0), closed).otherwise(state["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("sum"), *[F.lit(0).cast("long").alias(n) for n in longs])
+    begin = F.struct(zero.alias("now"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), none.alias("out"))
+    last = lambda s: F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.aggregate(F.sequence(F.lit(1), F.size(letters)), begin, step, lambda s: F.when(s["end"] < 0, none).otherwise(F.concat(s["out"], last(s))))
+
+
+def _cut(every: Column) -> Column:
+    """What is left of hot spans where base spans are cut out, as entropy spans; `every` holds both, sorted."""
+
+    def piece(start: Column, end: Column) -> Column:
+        long = F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+        return F.when(end - start >= LEAST_LEFT, long).otherwise(F.expr(NO_SPANS))
+
+    def step(state: Column, s: Column) -> Column:
+        base = s["kind"] < 3
+        done = piece(state["start"], F.when(base, F.least(state["end"], s["start"])).otherwise(state["end"]))
+        covered = F.when(base, F.greatest(state["covered"], s["end"])).otherwise(state["covered"])
+        return F.struct(
+            F.when(base, F.greatest(state["start"], s["end"])).otherwise(F.greatest(s["start"], state["covered"])).alias("start"),
+            F.when(base, state["end"]).otherwise(s["end"]).alias("end"),
+            covered.alias("covered"),
+            F.when(F.size(done) > 0, F.concat(state["out"], done)).otherwise(state["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("covered"), F.expr(NO_SPANS).alias("out"))
+    return F.aggregate(every, begin, step, lambda s: F.concat(s["out"], piece(s["start"], s["end"])))
 
 
 def with_secrets(df: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
     """df with the array of spans (start, kind, end), sorted; kind counts from 0 in `KINDS`."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    assigned = F.filter(matches(whole, ASSIGN), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_ASSIGN)
     found = df.withColumns(
         {
-            "_assign": _kind(matches(whole, ASSIGN, ASSIGN), 0, lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_ASSIGN),
-            "_access": _kind(matches(whole, ACCESS, f"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}"), 1, lambda m: F.length(m["found"]) >= LEAST_ACCESS),
-            "_hex": _kind(matches(whole, HEX, f"[0-9a-f]{{{LEAST_HEX},}}"), 2, lambda m: F.length(m["found"]) >= LEAST_HEX),
-            "_candidates": F.filter(matches(whole, CANDIDATE, CANDIDATE), lambda m: ~m["found"].rlike(ALLOWED)),
+            "_base": F.array_sort(F.concat(_kind(assigned, 0), _kind(matches(whole, ACCESS), 1), _kind(matches(whole, HEX), 2))),
+            "_candidates": F.filter(matches(whole, CANDIDATE), lambda m: ~m["found"].rlike(ALLOWED)),
         }
     )
-    found = found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
 
     def prepared(m: Column) -> Column:
         limit = F.lit(_limit(CLASSES[-1][1]))
         for pattern, bits in reversed(CLASSES[:-1]):
             limit = F.when(m["found"].rlike(pattern), F.lit(_limit(bits))).otherwise(limit)
-        return F.struct(m["start"].alias("start"), F.split(m["found"], "").alias("letters"), limit.alias("limit"))
+        letters = F.transform(F.split(m["found"], ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)
+        return F.struct(m["start"].alias("start"), m["found"].alias("found"), letters.alias("letters"), limit.alias("limit"))
 
     found = found.withColumn("_candidates", F.transform("_candidates", prepared))
 
     def of_candidate(m: Column) -> Column:
-        return F.transform(
-            hot_windows(m["letters"], m["limit"]),
-            lambda x: F.struct((m["start"] + x["start"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + x["end"]).alias("end")),
-        )
-
-    hot = F.filter(
-        F.flatten(F.transform("_candidates", of_candidate)),
-        lambda h: ~F.exists("_base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])),
-    )
-    hot = F.when(F.size("_candidates") > 0, hot).otherwise(F.expr(NO_SPANS))
-    return found.withColumn(name, F.array_sort(F.concat("_base", hot))).drop("_assign", "_access", "_hex", "_candidates", "_base")
+        def no_placeholder(x: Column) -> Column:
+            span = F.substring(m["found"], x["start"] + 1, x["end"] - x["start"])
+            return ~span.rlike(PLACEHOLDER) | F.exists(F.split(span, "/"), lambda part: (F.length(part) >= WINDOW) & ~part.rlike(PLACEHOLDER))
+
+        hot = F.filter(hot_windows(m["letters"], m["limit"]), no_placeholder)
+        return F.transform(hot, lambda x: F.struct((m["start"] + x["start"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + x["end"]).alias("end")))
+
+    none = F.expr(NO_SPANS)
+    found = found.withColumn("_hot", F.when(F.size("_candidates") > 0, F.flatten(F.transform("_candidates", of_candidate))).otherwise(none))
+    cut = F.array_sort(F.concat("_base", _cut(F.array_sort(F.concat("_base", "_hot")))))
+    spans = F.when(F.size("_hot") == 0, F.col("_base")).when(F.size("_base") == 0, F.col("_hot")).otherwise(cut)
+    return found.withColumn(name, spans).drop("_candidates", "_base", "_hot")
 
 
 def spelled(spans: Column) -> Column:
