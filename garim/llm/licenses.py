@@ -1,7 +1,8 @@
 """Licence scan in DataFrame functions alone: Dice coefficient over word bigrams against templates.
 
-A text's lines, its paragraphs and the whole of it are the units that are compared. Words are runs of
-a-z and 0-9 after lower-casing. With u and t distinct bigrams in a unit and a template, of which s are
+A text's lines, its runs of up to `RUN` sentences, its paragraphs and the whole of it are the units that are
+compared; a sentence ends at `.`, `!`, `?`, `;` or `:` before white space. Words are runs of a-z and 0-9 after
+lower-casing. With u and t distinct bigrams in a unit and a template, of which s are
 shared, Dice is 2 s / (u + t). As s is at most the lesser of both, a template is a candidate for a
 unit only while 2 min(u, t) / (u + t) reaches the threshold; other pairs are never compared.
 Before that, texts without any key word are passed over: the key words of a template are so many of
@@ -21,6 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
+#: Neighbouring sentences that make one unit, at most.
+RUN = 6
+_SENTENCE = r"([.!?;:])[ \t\r\n]+"
 
 # Notices and short licence texts in the wording that their stewards publish.
 TEMPLATES = {
@@ -38,6 +42,9 @@ TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-text": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -48,6 +55,7 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+UNITS = ("line", "sentences", "paragraph", "text")
 #: Words too common to be key words while others are left.
 _PLAIN = {"the", "a", "of", "to", "is", "in", "and", "or", "this", "at", "by", "for", "on", "with", "under", "you", "may", "any", "be", "are", "as", "not"}
 
@@ -90,24 +98,41 @@ def _key_pattern() -> str:
     return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")(?![a-z0-9])"
 
 
+def _worded(part: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
+
+
 def _units(text: Column) -> Column:
-    """(kind, place, words as one string) of lines, paragraphs and the whole."""
+    """(kind, place, words as one string) of lines, runs of sentences, paragraphs and the whole."""
 
     def unit(kind: int):
-        return lambda part, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("place"), F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " ")).alias("words")
-        )
+        return lambda part, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), _worded(part).alias("words"))
+
+    def runs(sentences: Column) -> Column:
+        n = F.size(sentences)
+        count = lambda i: F.least(F.lit(RUN), n - i + 1)
+        run = lambda i, k: F.struct(F.lit(1).alias("kind"), (i * RUN + k).alias("place"), F.array_join(F.slice(sentences, i, k), " ").alias("words"))
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), count(i)), lambda k: run(i, k)))))
 
-    lines, paragraphs = F.transform(F.split(text, "\n", -1), unit(0)), F.transform(F.split(text, "\n[ \t\r]*\n", -1), unit(1))
-    whole = F.transform(F.array(text), unit(2))
-    return F.filter(F.concat(lines, paragraphs, whole), lambda u: u["words"].rlike(_key_pattern()))
+    none = F.array().cast("array<struct<kind:int,place:int,words:string>>")
+    lines, paragraphs = F.transform(F.split(text, "\n", -1), unit(0)), F.transform(F.split(text, "\n[ \t\r]*\n", -1), unit(2))
+    parts = F.split(F.regexp_replace(text, _SENTENCE, "$1\x01"), "\x01", -1)
+    sentences = F.filter(F.transform(parts, _worded), lambda s: s != "")
+    whole = F.transform(F.array(text), unit(3))
+    # Bound to a variable, so that sentences are worked out once.
+    every = F.concat(lines, F.transform(F.array(sentences), lambda s: F.coalesce(runs(s), none))[0], paragraphs, whole)
+    return F.filter(every, lambda u: u["words"].rlike(_key_pattern()))
+
+
+def _most(least: float) -> int:
+    """Distinct bigrams that a unit may have and still match the longest template."""
+    return math.floor(max(len(b) for _, b in templates()) * (2 / least - 1))
 
 
 def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", least: float = DICE) -> DataFrame:
     """df with an array (license_id, dice, n_shared, n_bigrams, unit), at most one entry for each
-    template: its best unit, lines before paragraphs before the whole."""
-    sizes = [len(b) for _, b in templates()]
-    top = math.floor(max(sizes) * (2 / least - 1))
+    template: its best unit, lines before sentences before paragraphs before the whole."""
+    top = _most(least)
     none = F.array().cast("array<struct<kind:int,place:int,bigrams:array<string>>>")
 
     def with_bigrams(u: Column) -> Column:
@@ -140,7 +165,7 @@ def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", lea
 
     # The units are bound to a variable here: a column's expression would be worked out for each template.
     every = F.transform(F.array("_units"), lambda own_units: F.transform(known, lambda t: best(own_units, t)))
-    units = F.array(F.lit("line"), F.lit("paragraph"), F.lit("text"))
+    units = F.array(*[F.lit(u) for u in UNITS])
     matched = F.transform(
         F.filter(F.flatten(every), lambda m: m["best"]["dice"] >= least),
         lambda m: F.struct(
@@ -161,24 +186,30 @@ def oracle() -> str:
     rows = ", ".join(f"('{n}', [{', '.join(repr(b) for b in bigrams)}])" for n, bigrams in templates())
     return rf"""
 with t(license_id, bigrams) as (values {rows}),
-parts as (
+sentences as (
+  select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '{_SENTENCE}', '\1' || chr(1), 'g'), chr(1)),
+         lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') as s from documents
+), parts as (
   select doc_id, 0 as kind, unnest(string_split(text, chr(10))) as part, generate_subscripts(string_split(text, chr(10)), 1) as place from documents
   union all
-  select doc_id, 1, unnest(string_split_regex(text, '\n[ \t\r]*\n')), generate_subscripts(string_split_regex(text, '\n[ \t\r]*\n'), 1) from documents
+  select doc_id, 2, unnest(string_split_regex(text, '\n[ \t\r]*\n')), generate_subscripts(string_split_regex(text, '\n[ \t\r]*\n'), 1) from documents
+  union all
+  select doc_id, 3, text, 1 from documents
   union all
-  select doc_id, 2, text, 1 from documents
+  select doc_id, 1, array_to_string(s[i : i + k - 1], ' '), i * {RUN} + k
+  from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from sentences) n, range(1, {RUN} + 1) r(k) where i + k - 1 <= len(s)
 ), worded as (
   select doc_id, kind, place, string_split(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), ' ') as w from parts
 ), units as (
-  select doc_id, kind, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from worded where len(w) between 2 and 500
+  select doc_id, kind, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from worded where len(w) >= 2
 ), scored as (
   select doc_id, license_id, kind, place, len(b) as n_bigrams, len(list_intersect(b, bigrams)) as n_shared, len(bigrams) as n from units, t
-  where 2 * least(len(b), len(bigrams)) >= {DICE} * (len(b) + len(bigrams))
+  where len(b) <= {_most(DICE)} and 2 * least(len(b), len(bigrams)) >= {DICE} * (len(b) + len(bigrams))
 ), ranked as (
   select *, 2 * n_shared / (n_bigrams + n) as dice,
          row_number() over (partition by doc_id, license_id order by 2 * n_shared / (n_bigrams + n) desc, kind, place) as nth from scored
 )
 select doc_id, license_id, cast(dice as double) as dice, cast(n_shared as bigint) as n_shared, cast(n_bigrams as bigint) as n_bigrams,
-       ['line', 'paragraph', 'text'][kind + 1] as unit
+       {list(UNITS)}[kind + 1] as unit
 from ranked where nth = 1 and dice >= {DICE}
 """
