@@ -5,8 +5,8 @@ compared; a sentence ends at `.`, `!`, `?`, `;` or `:` before white space. Words
 lower-casing. With u and t distinct bigrams in a unit and a template, of which s are
 shared, Dice is 2 s / (u + t). As s is at most the lesser of both, a template is a candidate for a
 unit only while 2 min(u, t) / (u + t) reaches the threshold; other pairs are never compared.
-Before that, texts without any key word are passed over: the key words of a template are so many of
-its words that a unit without them can't reach the threshold (`key_words`), so no match is lost.
+Before that, texts and units without any key bigram are passed over: a template's key bigrams are so many of
+its bigrams that a unit without them can't reach the threshold (`key_bigrams`), so no match is lost.
 
 All work stays in the row: no shuffle, no broadcast. Null and empty texts match nothing; equal Dice
 values are settled by the unit's kind and place; a repeated row gives its matches again.
@@ -56,8 +56,10 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 UNITS = ("line", "sentences", "paragraph", "text")
-#: Words too common to be key words while others are left.
-_PLAIN = {"the", "a", "of", "to", "is", "in", "and", "or", "this", "at", "by", "for", "on", "with", "under", "you", "may", "any", "be", "are", "as", "not"}
+#: Words too common to tell a licence by, while others are left.
+_PLAIN = frozenset(
+    "a all an and any are as at be but by do for from if in is it may mit must no not of on one or other such that the this to under use was with you your".split()
+)
 
 
 def _words(text: str) -> list[str]:
@@ -72,30 +74,29 @@ def templates() -> tuple[tuple[str, tuple[str, ...]], ...]:
 
 
 @lru_cache
-def key_words(least: float = DICE) -> tuple[str, ...]:
-    """For each template enough words that a unit without any of them stays below the threshold: without
-    them at most r of its t bigrams are left, and Dice is at most 2 r / (r + t)."""
+def key_bigrams(least: float = DICE) -> tuple[str, ...]:
+    """For each template enough bigrams that a unit without any of them stays below the threshold: it shares at
+    most the r others of its t bigrams, and Dice is at most 2 r / (r + t)."""
+    use = Counter(b for _, bigrams in templates() for b in bigrams)
+    plain = lambda b: sum(w in _PLAIN or len(w) < 3 for w in b.split())
     found: set[str] = set()
-    use = Counter(w for _, bigrams in templates() for w in {w for b in bigrams for w in b.split()})
     for _, bigrams in sorted(templates(), key=lambda t: len(t[1])):
-        here = Counter(w for b in bigrams for w in b.split())
-        words = sorted(here, key=lambda w: (w not in found, w in _PLAIN, -use[w] * here[w], w))
-        taken: set[str] = set()
-        for word in words:
-            rest = sum(not taken & set(b.split()) for b in bigrams)
-            if 2 * rest / (rest + len(bigrams)) < least:
-                break
-            taken.add(word)
-        found |= taken
+        order = sorted(bigrams, key=lambda b: (plain(b), b not in found, -use[b], b))
+        rest = len(bigrams)
+        while 2 * rest / (rest + len(bigrams)) >= least:
+            rest -= 1
+        found |= set(order[: len(bigrams) - rest])
     return tuple(sorted(found))
 
 
+@lru_cache
 def _key_pattern() -> str:
-    """Any key word, in lower case; words are told apart by first letter, so most places fail at once."""
-    by_letter: dict[str, list[str]] = {}
-    for word in key_words():
-        by_letter.setdefault(word[0], []).append(word[1:])
-    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")(?![a-z0-9])"
+    """Any key bigram, in lower case; they are told apart by first letter, so most places fail at once."""
+    by_letter: dict[str, dict[str, list[str]]] = {}
+    for first, second in map(str.split, key_bigrams()):
+        by_letter.setdefault(first[0], {}).setdefault(first[1:], []).append(second)
+    pairs = lambda rest: "|".join(f"{a}[^a-z0-9]+(?:{'|'.join(b)})" for a, b in rest.items())
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{pairs(rest)})" for c, rest in by_letter.items()) + ")(?![a-z0-9])"
 
 
 def _worded(part: Column) -> Column:
