@@ -6,7 +6,8 @@ labelled rows (`SAMPLE`, those of least hash), and Platt-calibrated on a part of
 held back from training. Texts are scored in Arrow batches against the fixed threshold `KEEP`.
 
 Null and empty texts have no words and fail the base rules. Without usable labels every text scores 1,
-so the base rules alone decide. Labels that are null, or other than 0 and 1, are left out.
+so the base rules alone decide. Labels that are null, or other than 0 and 1, are left out. Repeated rows are rated
+each; of labels that differ under one id the least counts.
 """
 
 from __future__ import annotations
@@ -126,11 +127,11 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> list:
-    """At most `most` (doc_id, text, label) rows of least hash; the bound is on what reaches the driver."""
-    chosen = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("label"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    few = F.broadcast(chosen)  # at most `most` rows
-    return docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    """At most `most` (doc_id, text, label) rows of least hash; the bound is on what reaches the driver. Of labels or
+    texts that are repeated under one id the least counts, so that the sample is the same each time."""
+    chosen = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).alias("label"))
+    few = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # at most `most` rows
+    return docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Model:

@@ -18,9 +18,12 @@ U = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share; a local one is set only where the session names none."""
+    """The folder all machines share. Where the session names none, a local master gets a local one; a cluster's
+    machines share no local folder, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file:///tmp/garim-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
