@@ -1,4 +1,8 @@
-"""Check digits and dates of Korean identifiers as Column expressions over digit strings."""
+"""Check digits and dates of Korean identifiers as Column expressions over whole numbers.
+
+An identifier's digits are read as one number; places are taken from it by division, so that a check costs
+arithmetic alone. Leading zeros count through `size`.
+"""
 
 from __future__ import annotations
 
@@ -15,45 +19,55 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def digit(value: Column, place: int) -> Column:
-    """The digit at a place that counts from 1."""
-    return F.substring(value, place, 1).try_cast("int")
+def places(number: Column, first: int, last: int, size: int) -> Column:
+    """The number that stands at the places `first` to `last`, from 1, of one of `size` digits."""
+    front = F.call_function("div", number, F.lit(10 ** (size - last)).cast("long")) if last < size else number
+    return front % F.lit(10 ** (last - first + 1)).cast("long") if first > 1 else front
+
+
+def digit(number: Column, place: int, size: int) -> Column:
+    return places(number, place, place, size)
 
 
-def weighted(value: Column, weights: tuple[int, ...]) -> Column:
-    total = F.lit(0)
+def weighted(number: Column, weights: tuple[int, ...], size: int) -> Column:
+    total = F.lit(0).cast("long")
     for place, weight in enumerate(weights, 1):
-        total = total + digit(value, place) * weight
+        total = total + (digit(number, place, size) * weight if weight > 1 else digit(number, place, size))
     return total
 
 
-def rrn_valid(value: Column) -> Column:
-    return (11 - weighted(value, RRN_WEIGHTS) % 11) % 10 == digit(value, 13)
+def rrn_check(number: Column) -> Column:
+    """The check digit of a number of 13 digits, whatever its last."""
+    return (11 - weighted(number, RRN_WEIGHTS, 13) % 11) % 10
+
+
+def rrn_valid(number: Column) -> Column:
+    return rrn_check(number) == digit(number, 13, 13)
 
 
-def business_valid(value: Column) -> Column:
-    total = weighted(value, BUSINESS_WEIGHTS) + F.floor(digit(value, 9) * 5 / 10)
-    return ((10 - total % 10) % 10 == digit(value, 10)) & (value != "0000000000")
+def business_valid(number: Column) -> Column:
+    total = weighted(number, BUSINESS_WEIGHTS, 10) + F.call_function("div", digit(number, 9, 10) * 5, F.lit(10))
+    return ((10 - total % 10) % 10 == digit(number, 10, 10)) & (number != 0)
 
 
-def corporate_valid(value: Column) -> Column:
-    return (10 - weighted(value, CORPORATE_WEIGHTS) % 10) % 10 == digit(value, 13)
+def corporate_valid(number: Column) -> Column:
+    return (10 - weighted(number, CORPORATE_WEIGHTS, 13) % 10) % 10 == digit(number, 13, 13)
 
 
 def luhn_valid(value: Column) -> Column:
     return F.call_function("luhn_check", value)
 
 
-def date_of(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null if there is none."""
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+def day_exists(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return month.between(1, 12) & (day >= 1) & (day <= last)
 
 
-def birth_date(value: Column, centuries: dict[int, int]) -> Column:
-    """Date of birth told by the first seven digits; null if it is none, or the seventh is no key."""
-    seventh, century = digit(value, 7), F.lit(None).cast("int")
+def birth_day(number: Column, centuries: dict[int, int]) -> Column:
+    """Date of birth as yyyymmdd, told by the first seven of 13 digits; null if it is none, or the seventh is no key."""
+    seventh, century = digit(number, 7, 13), F.lit(None).cast("long")
     for key, base in centuries.items():
         century = F.when(seventh == key, base).otherwise(century)
-    number = lambda a: F.substring(value, a, 2).try_cast("int")
-    return F.when(century.isNotNull(), date_of(century + number(1), number(3), number(5)))
+    year, month, day = century + places(number, 1, 2, 13), places(number, 3, 4, 13), places(number, 5, 6, 13)
+    return F.when(day_exists(year, month, day), year * 10000 + places(number, 3, 6, 13))

@@ -162,25 +162,26 @@ _ACCOUNT = r"[0-9]+(?:[\s\-][0-9]+){1,4}|[0-9]{10,16}"
 
 
 def _resident(as_of: str) -> Check:
+    today = int(as_of.replace("-", ""))
+
     def check(m: Column, text: Column) -> Column:
-        number = C.digits(m["text"])
-        valid = C.rrn_valid(number)
-        corporate = ~valid & (C.digit(number, 7) == 0) & C.corporate_valid(number)
-        barcode = ~valid & number.startswith("880") & (m["text"] == number)
-        return (C.birth_date(number, RESIDENT_CENTURIES) <= F.lit(as_of).cast("date")) & ~corporate & ~barcode
+        number = m["number"]
+        corporate = (C.digit(number, 7, 13) == 0) & C.corporate_valid(number) & ~C.rrn_valid(number)
+        barcode = m["digits"].startswith("880") & (m["text"] == m["digits"]) & ~C.rrn_valid(number)
+        return (C.birth_day(number, RESIDENT_CENTURIES) <= today) & ~corporate & ~barcode
 
     return check
 
 
 def _corporate(m: Column, text: Column) -> Column:
-    number = C.digits(m["text"])
-    book = number.rlike("^97[89]") & (m["text"] == number)
-    day = C.date_of(F.lit(2000), F.substring(number, 3, 2), F.substring(number, 5, 2))
-    return ~book & C.corporate_valid(number) & ~(C.rrn_valid(number) & day.isNotNull())
+    number = m["number"]
+    book = m["digits"].rlike("^97[89]") & (m["text"] == m["digits"])
+    day = C.day_exists(F.lit(2000), C.places(number, 3, 4, 13), C.places(number, 5, 6, 13))
+    return ~book & C.corporate_valid(number) & ~(day & C.rrn_valid(number))
 
 
 def _card(m: Column, text: Column) -> Column:
-    number = C.digits(m["text"])
+    number = m["digits"]
     shape = number.rlike("^(?:4[0-9]{12}|[234569][0-9]{13}|3[47][0-9]{13}|[234569][0-9]{15,18})$")
     return shape & C.luhn_valid(number)
 
@@ -210,7 +211,7 @@ def _ipv6(m: Column, text: Column) -> Column:
 
 def _issued(m: Column, text: Column) -> Column:
     year = F.substring(m["text"], 1, 4).try_cast("int")
-    return year.between(1990, 2099) & C.date_of(year, F.substring(m["text"], 5, 2), F.substring(m["text"], 7, 2)).isNotNull()
+    return year.between(1990, 2099) & C.day_exists(year, F.substring(m["text"], 5, 2).try_cast("int"), F.substring(m["text"], 7, 2).try_cast("int"))
 
 
 def _born(as_of: str, marked: bool) -> Check:
@@ -224,7 +225,7 @@ def _born(as_of: str, marked: bool) -> Check:
         if marked:
             named = named | S.after(text, m["end"], 2).startswith("생")
         other = S.before(text, m["start"], 15).rlike("|".join(NO_BIRTH_WORDS))
-        return year.between(1900, now) & C.date_of(year, parts[1], parts[2]).isNotNull() & named & ~other
+        return year.between(1900, now) & C.day_exists(year, parts[1].try_cast("int"), parts[2].try_cast("int")) & named & ~other
 
     return check
 
@@ -286,12 +287,12 @@ def _no_common_word(m: Column, text: Column) -> Column:
 
 
 def _account(m: Column, text: Column) -> Column:
-    return F.length(C.digits(m["text"])).between(10, 16)
+    return F.length(m["digits"]).between(10, 16)
 
 
 def rules(as_of: str = AS_OF) -> list[Rule]:
     """All rules; those of a label stand together, in the order of their passes."""
-    resident, foreign = _resident(as_of), lambda m, t: C.birth_date(C.digits(m["text"]), FOREIGN_CENTURIES).isNotNull()
+    resident, foreign = _resident(as_of), lambda m, t: C.birth_day(m["number"], FOREIGN_CENTURIES).isNotNull()
     year = int(as_of[:4])
 
     def year_only(m: Column, text: Column) -> Column:
@@ -299,13 +300,13 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
         full = F.when(written < 100, F.when(written <= year % 100, written + 2000).otherwise(written + 1900)).otherwise(written)
         return full.between(1900, year)
 
-    sure = lambda m, t: C.rrn_valid(C.digits(m["text"]))
+    sure = lambda m, t: C.rrn_valid(m["number"])
     banks, titles, parts = "|".join(BANKS), "|".join(sorted(set(TITLES), key=lambda t: (-len(t), t))), "|".join(MAJOR_PARTS)
     return [
         Rule("RRN", rf"(?<![0-9]){_SIX_SEVEN}", CRITICAL, 1.0, resident, unsure=0.7, sure=sure),
         Rule("RRN", rf"(?<![0-9])([0-9])({_SIX_SEVEN})", CRITICAL, 1.0, resident, lead=1, value=2, unsure=0.7, sure=sure, exact=True),
         Rule("FRN", rf"(?<![0-9]){_SIX_SEVEN}", CRITICAL, 1.0, foreign, unsure=0.7, sure=sure),
-        Rule("BUSINESS_REG", r"(?<![0-9])[0-9]{3}-?[0-9]{2}-?[0-9]{5}(?![0-9])", HIGH, 1.0, lambda m, t: C.business_valid(C.digits(m["text"]))),
+        Rule("BUSINESS_REG", r"(?<![0-9])[0-9]{3}-?[0-9]{2}-?[0-9]{5}(?![0-9])", HIGH, 1.0, lambda m, t: C.business_valid(m["number"])),
         Rule("CORP_REG", rf"(?<![0-9]){_SIX_SEVEN}", MEDIUM, 1.0, _corporate),
         Rule("DRIVER_LICENSE", r"(?<![0-9])(?:1[1-9]|2[0-8])-[0-9]{2}-[0-9]{6}-[0-9]{2}(?![0-9])", CRITICAL, 0.85),
         Rule("DRIVER_LICENSE", r"(?<![0-9])(?:1[1-9]|2[0-8])[0-9]{10}(?![0-9])", CRITICAL, 0.85, keyword(LICENSE_WORDS, 15), exact=True),
@@ -392,6 +393,8 @@ def rules(as_of: str = AS_OF) -> list[Rule]:
     ]
 
 
+#: Labels whose checks read `digits`, a match's digits, and `number`, these as one number; worked out once for a match.
+NUMERIC = ("RRN", "FRN", "BUSINESS_REG", "CORP_REG", "CARD", "ACCOUNT")
 LABELS = tuple(dict.fromkeys(r.label for r in rules()))
 
 
@@ -408,6 +411,9 @@ def _of_rule(rule: Rule, rank: int, column: str) -> Column:
     if rule.trim:
         short = lambda m: F.regexp_replace(m["text"], rule.trim, "")
         found = F.transform(found, lambda m: m.withField("end", m["start"] + F.length(short(m))).withField("text", short(m)))
+    numeric = rule.label in NUMERIC
+    if numeric:
+        found = F.transform(F.transform(found, lambda m: m.withField("digits", C.digits(m["text"]))), lambda m: m.withField("number", m["digits"].try_cast("long")))
     if rule.keep:
         found = F.filter(found, lambda m: rule.keep(m, text))
     if rule.score:
@@ -415,7 +421,7 @@ def _of_rule(rule: Rule, rank: int, column: str) -> Column:
         found = F.transform(F.array(scored), _named)[0]
     if rule.sure:
         found = F.transform(found, lambda m: m.withField("confidence", F.when(rule.sure(m, text), rule.confidence).otherwise(rule.unsure)))
-    return found
+    return F.transform(found, lambda m: m.dropFields("digits", "number")) if numeric else found
 
 
 def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Column] | None = None) -> Column:

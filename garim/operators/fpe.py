@@ -1,100 +1,78 @@
-"""Values of the same format, made from a keyed digest of label and value.
+"""Values of the same format: each character is drawn anew from a keyed digest of the value and its place.
 
-The digest's 256 bits are read as digits of a number system, lowest first, and read again when they run
-out; Spark has no integers of that size, so this is an Arrow UDF, run on distinct values only.
+Digits become digits, letters letters of the same case, syllables syllables; anything else stays. Some places
+are kept (the seventh digit of a resident's number, an area code, a card's issuer, a mail domain, a passport's
+letters), and check digits are made to fit. All of it is Column expressions.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from garim.functions.checks import RRN_WEIGHTS
-from garim.operators.masking import fingerprint
-
-_AREAS = ("010", "011", "016", "017", "018", "019", "070", "031", "032", "033", "041", "042", "043", "044", "051", "052", "053", "054", "055", "061", "062", "063", "064")
-
-
-def drawn(digest: str, count: int, base: int) -> list[int]:
-    start = rest = int(digest, 16)
-    out = []
-    for _ in range(count):
-        out.append(rest % base)
-        rest = rest // base or start
-    return out
-
-
-def _digits(digest: str, count: int) -> str:
-    return "".join(map(str, drawn(digest, count, 10)))
-
-
-def _luhn_digit(body: str) -> int:
-    total = 0
-    for place, c in enumerate(reversed(body)):
-        d = int(c) * (2 if place % 2 == 0 else 1)
-        total += d - 9 if d > 9 else d
-    return -total % 10
-
-
-def _refilled(shape: str, digits: str) -> str:
-    left = iter(digits)
-    return "".join(next(left) if c.isdigit() else c for c in shape)
-
-
-def disguised(label: str, value: str, digest: str) -> str:
-    digits = re.sub(r"\D", "", value)
-    if label in ("RRN", "FRN"):
-        if len(digits) != 13:
-            return _digits(digest, len(digits))
-        body = _digits(digest[:16], 6) + digits[6] + _digits(digest[16:30], 5)
-        check = (11 - sum(int(c) * w for c, w in zip(body, RRN_WEIGHTS, strict=True)) % 11) % 10
-        return f"{body[:6]}{'-' if '-' in value else ''}{body[6:]}{check}"
-    if label in ("PHONE", "FAX"):
-        if len(digits) < 9:
-            return _digits(digest, len(digits))
-        kept = 3 if digits.startswith(_AREAS) else 2
-        return _refilled(value, digits[:kept] + _digits(digest, len(digits) - kept))
-    if label == "CARD":
-        if len(digits) < 13:
-            return _digits(digest, len(digits))
-        body = digits[:6] + _digits(digest, len(digits) - 7)
-        return _refilled(value, body + str(_luhn_digit(body)))
-    if label == "EMAIL":
-        local, at, domain = value.partition("@")
-        letters = "".join(chr(97 + d) for d in drawn(digest, max(4, len(local)), 26))
-        return f"{letters[: len(local)]}@{domain}" if at else value
-    if label == "PASSPORT":
-        m = re.fullmatch(r"([A-Z]{1,2})(\d+)", value)
-        return m[1] + _digits(digest, len(m[2])) if m else value
-    pools = {
-        "digit": iter(_digits(digest, len(value))),
-        "letter": iter(chr(65 + d) for d in drawn(digest, len(value), 26)),
-        "hangul": iter(chr(0xAC00 + d) for d in drawn(digest, len(value), 11172)),
-    }
-    out = []
-    for c in value:
-        if c.isdigit():
-            out.append(next(pools["digit"]))
-        elif "가" <= c <= "힣":
-            out.append(next(pools["hangul"]))
-        elif c.isascii() and c.isalpha():
-            letter = next(pools["letter"])
-            out.append(letter if c.isupper() else letter.lower())
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def _disguised(labels: pd.Series, values: pd.Series, digests: pd.Series) -> pd.Series:
-    return pd.Series([disguised(*row) for row in zip(labels, values, digests, strict=True)])
+
+from garim.functions import checks as C
+
+_LAST_DIGIT = "[0-9](?=[^0-9]*$)"
+
+
+def _draw(seed: Column, place: Column, below: int) -> Column:
+    """A number from 0, the same for the same seed and place."""
+    digest = F.sha2(F.concat_ws(":", seed, place.cast("string")), 256)
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % below).cast("int")
+
+
+def _letter(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _other(c: Column, seed: Column, place: Column) -> Column:
+    """Another character of the same kind."""
+    return (
+        F.when(c.rlike("[0-9]"), _draw(seed, place, 10).cast("string"))
+        .when(c.rlike("[A-Z]"), _letter(_draw(seed, place, 26) + 65))
+        .when(c.rlike("[a-z]"), _letter(_draw(seed, place, 26) + 97))
+        .when(c.rlike("[가-힣]"), _letter(_draw(seed, place, 11172) + 0xAC00))
+        .otherwise(c)
+    )
+
+
+def _kept(label: Column, value: Column) -> Column:
+    """A pattern of the part at the value's start that stays, and of mail the end."""
+    digits = F.length(C.digits(value))
+    return (
+        F.when(label.isin("PHONE", "FAX") & (digits >= 9), F.length(F.regexp_extract(value, "^[^0-9]*(?:02|[0-9][^0-9]*[0-9][^0-9]*[0-9])", 0)))
+        .when((label == "CARD") & (digits >= 13), F.length(F.regexp_extract(value, "^(?:[^0-9]*[0-9]){6}", 0)))
+        .when(label == "PASSPORT", F.length(F.regexp_extract(value, "^[A-Za-z]*", 0)))
+        .otherwise(0)
+    )
+
+
+def disguised(label: Column, value: Column, salt: str) -> Column:
+    seed, resident = F.concat_ws(":", F.lit(salt), label, value), label.isin("RRN", "FRN") & (F.length(C.digits(value)) == 13)
+    kept = _kept(label, value)
+    seventh = F.when(resident, F.length(F.regexp_extract(value, "^(?:[^0-9]*[0-9]){7}", 0))).otherwise(0)
+    mail = F.when(label == "EMAIL", F.instr(value, "@")).otherwise(0)
+
+    def drawn(x: Column) -> Column:
+        stays = lambda i: (i <= x["kept"]) | (i == x["seventh"]) | ((x["mail"] > 0) & (i >= x["mail"]))
+        chars = F.transform(F.split(x["value"], ""), lambda c, i: F.when(stays(i + 1), c).otherwise(_other(c, x["seed"], i)))
+        return F.array_join(chars, "")
+
+    parts = F.struct(value.alias("value"), seed.alias("seed"), kept.alias("kept"), seventh.alias("seventh"), mail.alias("mail"))
+    fresh = F.transform(F.array(parts), drawn)
+
+    def checked(v: Column) -> Column:
+        resident_digit = C.rrn_check(C.digits(v).try_cast("long")).cast("string")
+        front = F.regexp_replace(C.digits(v), "[0-9]$", "")
+        card_digit = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: C.luhn_valid(F.concat(front, d)))[0]
+        return F.when(resident, F.regexp_replace(v, F.lit(_LAST_DIGIT), resident_digit)).when(
+            (label == "CARD") & (F.length(C.digits(value)) >= 13), F.regexp_replace(v, F.lit(_LAST_DIGIT), card_digit)
+        ).otherwise(v)
+
+    return F.transform(fresh, checked)[0]
 
 
 def format_preserving(values: DataFrame, salt: str) -> DataFrame:
-    """(label, original, fpe_value) of the distinct values of (label, original)."""
+    """(label, original, fpe_value) of the distinct values of (label, original). Null values are left out."""
     distinct = values.select("label", "original").where("original is not null").distinct()
-    return distinct.withColumn("fpe_value", _disguised("label", "original", fingerprint(F.col("label"), F.col("original"), salt)))
+    return distinct.withColumn("fpe_value", disguised(F.col("label"), F.col("original"), salt))

@@ -1,4 +1,5 @@
-"""Guards: credentials and personal data in generated text, and prompts that work against their instructions."""
+"""Guards: credentials, personal data, insults and harmful advice in generated text, and prompts that work against
+their instructions."""
 
 from __future__ import annotations
 
@@ -39,6 +40,43 @@ def secret_spans(column: str) -> Column:
     return F.filter(F.concat(*parts), lambda s: ~s["text"].rlike(PLACEHOLDER))
 
 
+#: Insults and threats, in words of their own or in the spaced and starred spellings that hide them.
+TOXIC = {
+    "threat": (4, r"죽여\s*버|죽일\s*거|가만\s*안\s*(?:둬|둘)|칼로\s*찔|(?i:i\s+will\s+kill|going\s+to\s+kill)\s+(?:you|him|her|them)"),
+    "slur": (4, r"(?:한남|김치|된장|맘)충|틀딱|급식충|짱깨|쪽바리"),
+    "insult": (3, r"[씨시]\s*[이]?\s*[발팔벌]\s*(?:놈|년|새끼)|개\s*[새세]\s*끼|병\s*신\s*(?:아|같|새끼)|미친\s*(?:놈|년|새끼)|(?i:\b(?:idiot|moron|stupid\s+bastard)\b)"),
+    "self_harm": (4, r"(?:자살|자해)\s*(?:해|하는\s*(?:법|방법)|하자)|(?i:how\s+to\s+(?:kill|hurt)\s+(?:yourself|myself))"),
+}
+#: Advice that harms who follows it. A sentence that warns of it is none.
+UNSAFE = {
+    "medicine": (5, r"(?:약|처방약|인슐린|항생제)\S{0,3}\s*(?:끊|중단하|두\s*배로|임의로\s*(?:늘|줄))\S*|(?i:(?:stop|double)\s+(?:taking\s+)?(?:your\s+)?(?:medication|insulin|antibiotics))"),
+    "mixing": (5, r"(?:락스|표백제).{0,12}(?:식초|암모니아|산성).{0,8}(?:섞|혼합)|(?i:mix\s+(?:bleach|ammonia)\s+(?:with|and)\s+(?:bleach|ammonia|vinegar))"),
+    "weapon": (5, r"(?:폭탄|폭발물|총기)\S{0,3}\s*(?:만드는|제조|조립)|(?i:how\s+to\s+(?:make|build)\s+(?:a\s+)?(?:bomb|explosives?))"),
+    "finance": (4, r"(?:원금|수익)\s*(?:을|이)?\s*(?:무조건\s*)?보장|(?:대출|빚)\S{0,3}\s*(?:받아|내서)\s*(?:투자|주식|코인)|(?i:guaranteed\s+(?:returns?|profits?))"),
+    "law": (4, r"(?:증거|기록)\S{0,2}\s*(?:없애|인멸|지우)|세금\S{0,2}\s*(?:안\s*내|빼돌)|(?i:(?:destroy|hide)\s+the\s+evidence)"),
+}
+WARNING = r"(?:하지|마시|말아|말고|안\s*됩|안\s*돼|금지|위험|주의|불법|never|not|don't|avoid|dangerous|illegal|warning)"
+
+
+def toxic_spans(column: str) -> Column:
+    """Spans of insults, threats and slurs; label TOXIC_ and what they are. Spaces between letters do not hide them."""
+    parts = [S.find_all(column, p, label=f"TOXIC_{n.upper()}", risk=risk, confidence=0.9, rank=2000 + i) for i, (n, (risk, p)) in enumerate(TOXIC.items())]
+    return F.concat(*parts)
+
+
+def unsafe_spans(column: str) -> Column:
+    """Spans of harmful advice; label UNSAFE_ and its field. A sentence with a word of warning outside the span has none."""
+    parts = [S.find_all(column, p, label=f"UNSAFE_{n.upper()}", risk=risk, confidence=0.85, rank=3000 + i) for i, (n, (risk, p)) in enumerate(UNSAFE.items())]
+    text = F.col(column)
+
+    def warned(s: Column) -> Column:
+        left = F.regexp_extract(S.before(text, s["start"], 60), r"[^.!?\n]*$", 0)
+        right = F.regexp_extract(S.after(text, s["end"], 60), r"^[^.!?\n]*", 0)
+        return F.concat(left, F.lit("|"), right).rlike(f"(?i){WARNING}")
+
+    return F.filter(F.concat(*parts), lambda s: ~warned(s))
+
+
 def merged_places(spans: Column) -> Column:
     """(start, end) of runs of spans that overlap or touch, in order."""
     places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
@@ -55,8 +93,9 @@ def merged_places(spans: Column) -> Column:
 def guard_output(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `violations` (spans), `verdict` (BLOCK from risk 4, else FLAG, or ALLOW) and `safe_text`.
     Null text is allowed and stays null."""
-    found = detect(df, text, "_personal", exclude=list(HARMLESS)).withColumn("_secrets", F.coalesce(secret_spans(text), F.expr(S.NO_SPANS)))
-    found = found.withColumn("violations", F.concat("_secrets", "_personal")).drop("_secrets", "_personal")
+    found = detect(df, text, "_personal", exclude=list(HARMLESS))
+    said = F.concat(secret_spans(text), toxic_spans(text), unsafe_spans(text))
+    found = found.withColumn("_said", F.coalesce(said, F.expr(S.NO_SPANS))).withColumn("violations", F.concat("_said", "_personal")).drop("_said", "_personal")
     worst = F.array_max(F.transform("violations", lambda v: v["risk_level"]))
     verdict = F.when(worst >= 4, "BLOCK").when(worst.isNotNull(), "FLAG").otherwise("ALLOW")
     redacted = S.splice(F.col(text), merged_places(F.col("violations")), lambda p: F.lit("[REDACTED]"))
@@ -66,23 +105,31 @@ def guard_output(df: DataFrame, text: str = "text") -> DataFrame:
 # Letters of other scripts that look like Latin ones, and digits read as letters.
 LOOKALIKES = ("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSaopvikABEZHIKMNOPTYX")
 LEET = (("013457@$!", "oieastasi"), ("013457@$!", "oleastasi"))
-_KO_ORDERS, _EN_ORDERS = "(?:지시|지침|명령|규칙|프롬프트|설정)", "(?:instructions?|prompts?|rules?|directions?|guidelines?|directives?)"
-_EARLIER, _DROP = "(?:이전|기존|앞선|앞의|위의|지금까지의?|원래|처음|너의|네|시스템)", "(?:무시|잊어|잊고|따르지|버리고|취소|초기화|무효|폐기|덮어)"
-_TELL = "(?:알려|보여|출력|말해|공개|복사|읽어|적어|반복)"
+
+
+def _said(verbs: str, things: str, apart: int, first: str = "") -> str:
+    """A verb and a thing in either order, at most so many characters apart; `first` stands right before the thing."""
+    thing = rf"(?:{first})\s*(?:{things})" if first else rf"(?:{things})"
+    return rf"{thing}.{{0,{apart}}}?(?:{verbs})|(?:{verbs}).{{0,{apart}}}?{thing}"
+
+
+#: Words of orders that stand in front of a model, in two languages: what they are, which ones, and what is done to them.
+_ORDERS = r"지시|지침|명령|규칙|프롬프트|설정|instructions?|prompts?|rules?|directions?|guidelines?|directives?"
+_WHICH = r"(?:이전|기존|앞선|앞의|위의|지금까지의?|원래|처음|너의|네|시스템)\s*(?:받은\s*)?(?:모든)?|(?:previous|prior|above|earlier|preceding|initial|your)"
+_UNDO = r"무시|잊어|잊고|따르지|버리고|취소|초기화|무효|폐기|덮어|ignore|disregard|forget|override"
+_HIDDEN = r"시스템|숨긴|숨겨진|비밀|내부|초기|처음\s*받은|네?가?\s*받은|system|initial|original|hidden|secret"
+_TELL = r"알려|보여|출력|말해|공개|복사|읽어|적어|반복|reveal|show|print|repeat|tell|output"
+_ALL = r"전체|모든|지금까지의?|위의?|entire|whole|full"
 #: Category, risk, pattern; the first four categories block from risk 4.
 PROMPT_RULES = (
-    ("INSTRUCTION_OVERRIDE", 4, rf"{_EARLIER}\s*(?:받은\s*)?(?:모든\s*)?{_KO_ORDERS}.{{0,14}}?{_DROP}"),
-    ("INSTRUCTION_OVERRIDE", 4, rf"{_DROP}\S{{0,3}}\s*{_EARLIER}\s*(?:모든\s*)?{_KO_ORDERS}"),
-    ("INSTRUCTION_OVERRIDE", 4, rf"(?:ignore|disregard|forget|override)\s*(?:all\s*)?(?:of\s*)?(?:the\s*|your\s*|my\s*)?(?:previous|prior|above|earlier|preceding|initial)\s*{_EN_ORDERS}"),
-    ("INSTRUCTION_OVERRIDE", 4, rf"(?:ignore|disregard|forget|override)\s*(?:all\s*)?your\s*{_EN_ORDERS}"),
-    ("PROMPT_LEAK", 4, rf"(?:시스템|system|숨긴|숨겨진|비밀|내부|초기|처음\s*받은|네가?\s*받은)\s*(?:프롬프트|prompt|메시지|지침|규칙|설정).{{0,12}}?{_TELL}"),
-    ("PROMPT_LEAK", 4, rf"(?:reveal|show|print|repeat|tell|output)\s+(?:me\s+)?(?:your|the)\s+(?:system|initial|original|hidden|secret)\s+(?:{_EN_ORDERS}|message)"),
-    ("JAILBREAK", 4, r"\bDAN\s*(?:모드|mode|처럼|이라는)|do\s*anything\s*now|jailbreak\s*(?:mode|prompt|now|해)|(?:제한|규제|필터|검열|제약)\s*(?:이|가)?\s*없는\s*(?:AI|인공지능|모델|챗봇)"),
-    ("JAILBREAK", 4, r"(?:안전\s*(?:필터|장치|규칙)|검열|가드레일).{0,4}?(?:해제|풀고|끄고|우회|무력화).{0,12}?(?:답|말|대답|응답)"),
-    ("JAILBREAK", 3, r"(?:가상|허구|소설|역할극).{0,12}?(?:이니까|상황|설정).{0,20}?(?:괜찮|상관\s*없|문제\s*없|허용)"),
-    ("EXFILTRATION", 4, rf"(?:전체|모든|지금까지의?|위의?)\s*(?:대화|맥락|컨텍스트|기록).{{0,15}}?(?:전부|모두|그대로)?\s*(?:{_TELL}|보내|덤프)"),
-    ("EXFILTRATION", 4, r"(?:dump|print|repeat|send)\s+(?:me\s+)?(?:the\s+)?(?:entire|whole|full)\s+(?:conversation|context|history)"),
-    ("ENCODING", 3, r"(?:base64|rot13|hex).{0,20}?(?:디코드|디코딩|해독|decode)|(?:디코드|디코딩|해독|decode).{0,20}?(?:base64|rot13|hex)|(?:%[0-9A-Fa-f]{2}){6,}"),
+    ("INSTRUCTION_OVERRIDE", 4, _said(_UNDO, _ORDERS, 16, _WHICH)),
+    ("PROMPT_LEAK", 4, _said(_TELL, rf"{_ORDERS}|메시지|messages?", 14, _HIDDEN)),
+    ("JAILBREAK", 4, r"\bDAN\b|do\s*anything\s*now|jailbreak|탈옥\s*모드"),
+    ("JAILBREAK", 4, r"(?:제한|규제|필터|검열|제약)\s*(?:이|가)?\s*(?:없는|없이|풀린)|(?:without|no)\s+(?:any\s+)?(?:restrictions|filters|censorship|limits)"),
+    ("JAILBREAK", 4, _said(r"해제|풀고|끄고|우회|무력화|disable|bypass|turn\s*off", r"안전\s*(?:필터|장치|규칙)|검열|가드레일|guardrails?|safety\s*(?:filters?|rules?)", 8)),
+    ("JAILBREAK", 3, r"(?:가상|허구|소설|역할극|fiction|hypothetical).{0,30}?(?:괜찮|상관\s*없|문제\s*없|허용|allowed|harmless)"),
+    ("EXFILTRATION", 4, _said(rf"{_TELL}|보내|덤프|dump|send", r"대화|맥락|컨텍스트|기록|conversation|context|history", 18, _ALL)),
+    ("ENCODING", 3, _said(r"디코드|디코딩|해독|decode", r"base64|rot13|hex", 20) + r"|(?:%[0-9A-Fa-f]{2}){6,}"),
 )
 BLOCKING = ("INSTRUCTION_OVERRIDE", "PROMPT_LEAK", "JAILBREAK", "EXFILTRATION")
 #: A request to translate such a sentence is no order to follow it.
