@@ -27,7 +27,7 @@ GIVEN_READINGS = {
 # Syllables that no Korean name begins with, and those of foreign names.
 FOREIGN_FIRST = "라랴러려로료루류르리냐녀뇨뉴니"
 FOREIGN_SYLLABLES = "쉬츠체테토트프푸퍼팻쳇케캐쿠쿵콩콘베뱀뷔마메모무므샤쇼슈솨샹스"
-ADMIN_SUFFIXES = "시군구동읍면리도청과부국실팀원장법"
+ADMIN_SUFFIXES = "시도구군동면리읍촌관원장청부과사법안비주회당단조임수료금급"
 
 
 def without_particle(token: Column) -> Column:

@@ -11,7 +11,7 @@ from garim.functions.html import strip_html
 from garim.functions.labels import POLICIES, action
 from garim.operators import analytics, evaluation, guards, masking, merge, review, sequences, tabular, vault
 from garim.operators.detectors import detect
-from garim.plans import lens
+from garim.plans import extras, lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -298,6 +298,19 @@ for _mode, _labels in {
 ORACLES["tokenize_docs"] = ORACLES["tokenize_docs"].replace("with hit as", "with" + _CARDS + ", hit as", 1)
 
 
+#: Every place of a value is one of its finds: values are told apart by what stands around them.
+ORACLES["redact_docs"] = r"""
+with d as (select doc_id, regexp_replace(text, '(^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*(?:\.[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*)+)', '\1[이메일]', 'g') as out, text from documents)
+select doc_id, md5(out) as digest from d where out <> text"""
+ORACLES["vault_entries"] = (
+    _HITS
+    + """
+, per as (select doc_id, label, value, count(*) as n from hits group by all),
+placed as (select doc_id, label, value, n, cast(instr(text, value) - 1 as bigint) as at from per join documents using (doc_id))
+select doc_id, label, value as original, '<' || label || '_' || row_number() over (partition by doc_id, label order by at) || '>' as token, at as first_seen_offset, n from placed"""
+)
+
+
 def queries() -> dict[str, Query]:
     every = (
         email_spans, page_email_spans, ipv4_spans, redact_docs, document_summary, label_counts, vault_entries, tokenize_docs, policy_actions,
@@ -306,8 +319,9 @@ def queries() -> dict[str, Query]:
     )
     found = {f.__name__: f for f in every}
     found |= {f"merge_{m}": _merge_query(m) for m in merge.MODES}
+    found |= extras.queries()
     return found | {f"lens_{name}": lens.query(x) for name, x in lens.LENSES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {f"lens_{name}": lens.oracle(x) for name, x in lens.LENSES.items()}
+    return ORACLES | extras.ORACLES | {f"lens_{name}": lens.oracle(x) for name, x in lens.LENSES.items()}

@@ -65,16 +65,15 @@ def generated(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     check digits, the same for a seed. What a text says follows from its number alone, so tasks share nothing."""
     rows = spark.range(n).withColumnRenamed("id", "doc_id")
     draw = lambda salt, below: F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(salt)), F.lit(below)).cast("long")
+    # Column by column, so that no value is worked out twice.
     front = (40 + draw("year", 60)) * 10**11 + (1 + draw("month", 12)) * 10**9 + (1 + draw("day", 28)) * 10**7 + (1 + draw("sex", 2)) * 10**6 + draw("serial", 100000) * 10
-    resident = _pad(front + C.rrn_check(front), 13)
-    card = F.concat(F.lit("4"), _pad(draw("card", 10**14), 14))
-    fit = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: C.luhn_valid(F.concat(card, d)))[0]
-    values = {
-        "RRN": F.concat_ws("-", F.substring(resident, 1, 6), F.substring(resident, 7, 7)),
-        "PHONE": F.concat_ws("-", F.lit("010"), _pad(2000 + draw("front", 8000), 4), _pad(draw("back", 10000), 4)),
-        "EMAIL": F.concat(F.lit("user"), draw("mail", 100000).cast("string"), F.lit("@example.com")),
-        "CARD": F.concat(card, fit),
-    }
+    rows = rows.withColumns({"_front": front, "_card": F.concat(F.lit("4"), _pad(draw("card", 10**14), 14)), "_kind": draw("template", 4)})
+    fit = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat("_card", d.cast("string"))), C.luhn_valid)[0]
+    phone = F.concat_ws("-", F.lit("010"), _pad(2000 + draw("front", 8000), 4), _pad(draw("back", 10000), 4))
+    mail = F.concat(F.lit("user"), draw("mail", 100000).cast("string"), F.lit("@example.com"))
+    rows = rows.withColumns({"_resident": _pad(F.col("_front") + C.rrn_check(F.col("_front")), 13), "CARD": fit, "PHONE": phone, "EMAIL": mail})
+    rows = rows.withColumn("RRN", F.concat_ws("-", F.substring("_resident", 1, 6), F.substring("_resident", 7, 7)))
+    values = {label: F.col(label) for label in ("RRN", "PHONE", "EMAIL", "CARD")}
     templates = (
         (("신청인의 주민등록번호는 ", "RRN"), (" 이고 연락처는 ", "PHONE"), (" 입니다.", None)),
         (("결제 카드 ", "CARD"), (" 승인 문의는 ", "EMAIL"), (" 로 보내 주십시오.", None)),
@@ -92,7 +91,7 @@ def generated(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
                 text = F.concat(text, values[label])
         return F.struct(text.alias("text"), (F.array(*spans) if spans else F.array()).cast("array<struct<label:string,text:string,start:int,end:int>>").alias("spans"))
 
-    which, made = draw("template", len(templates)), None
+    which, made = F.col("_kind"), None
     for i, parts in enumerate(templates):
         made = F.when(which == i, filled(parts)) if made is None else made.when(which == i, filled(parts))
     return rows.select("doc_id", made.alias("made")).select("doc_id", "made.text", "made.spans")
