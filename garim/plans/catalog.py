@@ -270,7 +270,7 @@ _HITS = (
 , hits as (
   select doc_id, 'EMAIL' as label, value from ({_EMAIL_SQL})
   union all select doc_id, 'IP', value from (select doc_id, unnest({_IPS.replace('@', 'text')}) as value from documents) where {_IP_OK}
-  union all select doc_id, 'CARD', regexp_replace(value, '([^0-9])\\1', '\\1', 'g') from cards
+  union all select doc_id, 'CARD', replace(replace(replace(replace(value, '--', '-'), '..', '.'), '//', '/'), '  ', ' ') from cards
 )"""
 )
 ORACLES["label_counts"] = _HITS + " select label, 'BLOCK' as action, count(*) as n from hits group by label"
@@ -306,8 +306,8 @@ ORACLES["vault_entries"] = (
     _HITS
     + """
 , per as (select doc_id, label, value, count(*) as n from hits group by all),
-placed as (select doc_id, label, value, n, cast(instr(text, value) - 1 as bigint) as at from per join documents using (doc_id))
-select doc_id, label, value as original, '<' || label || '_' || row_number() over (partition by doc_id, label order by at) || '>' as token, at as first_seen_offset, n from placed"""
+placed as (select doc_id, label, value, n, cast(instr(text, value) - 1 as bigint) as place from per join documents using (doc_id))
+select doc_id, label, value as original, '<' || label || '_' || row_number() over (partition by doc_id, label order by place) || '>' as token, place as first_seen_offset, n from placed"""
 )
 
 
