@@ -47,27 +47,21 @@ def odd_characters() -> re.Pattern:
     from tokenizers import normalizers
 
     theirs, ours = normalizers.NFC().normalize_str, lambda t: unicodedata.normalize("NFC", t)
-    odd = set()
-    for code in range(sys.maxunicode + 1):
+    kinds = list(map(unicodedata.category, map(chr, range(sys.maxunicode + 1))))
+    odd = bytearray(map("Cn".__eq__, kinds))
+    for code, kind in enumerate(kinds):
+        if kind in ("Cn", "Co", "Cs"):
+            continue
         c = chr(code)
-        if unicodedata.category(c) == "Cn":
-            odd.add(c)
-        elif unicodedata.combining(c):
-            # Classes 1, 216 and 240 stand below, amid and above the others.
-            if any(theirs(t) != ours(t) for t in ("a" + c + "\u0334", "a\u0f39" + c, "a" + c + "\u0f39", "a\u0345" + c)):
-                odd.add(c)
+        # Classes 1, 216 and 240 stand below, amid and above the others.
+        if kind[0] == "M" and any(theirs(t) != ours(t) for t in ("a" + c + "\u0334", "a\u0f39" + c, "a" + c + "\u0f39", "a\u0345" + c)):
+            odd[code] = 1
         pair = unicodedata.decomposition(c).split()
         if len(pair) == 2 and pair[0][0] != "<":
             t = "".join(chr(int(x, 16)) for x in pair)
             if theirs(t) != ours(t):
-                odd |= {c, t[1]}
-    codes, ranges, at = sorted(map(ord, odd)), [], 0
-    while at < len(codes):
-        to = at
-        while to + 1 < len(codes) and codes[to + 1] == codes[to] + 1:
-            to += 1
-        ranges.append(rf"\U{codes[at]:08x}-\U{codes[to]:08x}")
-        at = to + 1
+                odd[code] = odd[ord(t[1])] = 1
+    ranges = [rf"\U{m.start():08x}-\U{m.end() - 1:08x}" for m in re.finditer(b"\1+", bytes(odd))]
     return re.compile("[" + "".join(ranges) + "]")
 
 
