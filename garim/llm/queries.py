@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": substrings.ORACLE, "op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}
+    return {"op2_secrets": secrets.oracle(), "op3_substrings": substrings.ORACLE, "op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}

@@ -225,3 +225,56 @@ def op2(docs: DataFrame) -> DataFrame:
         spelled(F.col("secrets")).alias("spans"),
         count(3).alias("n_entropy"),
     )
+
+
+def oracle() -> str:
+    """The same rows for op2, with every window counted by itself and base spans cut out character by character."""
+    fold = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(fold(w) for w in ("password", "passwd", "secret", "token")) + "|" + fold("api") + "_?" + fold("key")
+    assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    allowed = (
+        r"^[-_/=+]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z][-_/=+]+)[-_/=+]*)*[A-Za-z]?$|^[-_/=+0-9]+$"
+        r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    )
+    limit = "case " + " ".join(f"when regexp_matches(found, '{p}') then {_limit(bits)}" for p, bits in CLASSES[:-1]) + f" else {_limit(CLASSES[-1][1])} end"
+    patterns = ", ".join(f"({k}, '{p}')" for k, p in enumerate((assign, ACCESS, HEX, CANDIDATE)))
+    return rf"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+lists as (select r, kind, p, regexp_extract_all(t, p) as found, string_split_regex(t, p) as gaps from d, (values {patterns}) k(kind, p) where regexp_matches(t, p)),
+each as (select r, kind, p, found, gaps, unnest(range(1, len(found) + 1)) as i from lists),
+placed as (select r, kind, found[i] as found, i, sum(len(gaps[i]) + len(found[i])) over (partition by r, kind order by i) - len(found[i]) as start from each),
+base as (select r, kind, start, start + len(found) as stop from placed where kind in (1, 2) or kind = 0 and len(regexp_extract(found, '{assign}', 2)) >= {LEAST_ASSIGN}),
+c as (select r, i as c, start, found, {limit} as most from placed where kind = 3 and not regexp_matches(found, '{allowed}')),
+w as (select r, c, start, found, most, unnest(range(0, len(found) - {WINDOW - 1})) as j from c),
+hot as (
+  select r, c, start, found, j from w
+  where list_sum(list_transform(map_values(list_histogram(string_split(found[j + 1 : j + {WINDOW}], ''))), lambda n: {_SUMS}[(n + 1)::bigint])) <= most
+), marked as (
+  select *, case when j > lag(j) over (partition by r, c order by j) + {WINDOW} then 1 else 0 end as fresh from hot
+), islands as (
+  select *, sum(fresh) over (partition by r, c order by j) as island from marked
+), spans as (
+  select r, c, island, any_value(start) as base_at, any_value(found) as found, min(j) as a, max(j) + {WINDOW} as z from islands group by r, c, island
+), real as (
+  select r, c, island, base_at + a as start, base_at + z as stop from spans
+  where not regexp_matches(found[a + 1 : z], '{PLACEHOLDER}')
+     or len(list_filter(string_split(found[a + 1 : z], '/'), lambda x: len(x) >= {WINDOW} and not regexp_matches(x, '{PLACEHOLDER}'))) > 0
+), chars as (
+  select r, c, island, unnest(range(start::bigint, stop::bigint)) as x from real
+), free as (
+  select r, c, island, x, x - row_number() over (partition by r, c, island order by x) as run from chars
+  where not exists (select 1 from base b where b.r = chars.r and x >= b.start and x < b.stop)
+), entropy as (
+  select r, 3 as kind, min(x) as start, max(x) + 1 as stop from free group by r, c, island, run having count(*) >= {LEAST_LEFT}
+), every as (
+  select r, kind, start::bigint as start, stop::bigint as stop from base union all select r, kind, start, stop from entropy
+), told as (
+  select r, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, count(*) filter (kind = 3) as n3,
+    string_agg({list(KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (kind < 3) as base,
+    string_agg({list(KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans
+  from every group by r
+)
+select doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access, coalesce(n2, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n3, 0)::bigint as n_entropy
+from d left join told using (r)
+"""

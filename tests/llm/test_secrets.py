@@ -84,3 +84,17 @@ def test_time_grows_with_the_text(docs_of, rng):
         began = time.time()
         row = S.op2(docs_of([text])).first()
         assert row.spans.count(",") + 1 >= least and time.time() - began < 30
+
+
+def test_sql_gives_the_same_rows(rng):
+    import duckdb
+    import pandas as pd
+
+    texts = [None, "", *("".join(rng.choice(PARTS) for _ in range(rng.randint(1, 14))) for _ in range(600))]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    rows = duckdb.sql(S.oracle()).fetchall()
+    assert len(rows) == len(texts)
+    for doc, _, _, _, digest, spans, n in rows:
+        base, every = brute(texts[doc])
+        assert spans == spelled(every) and n == len(every) - len(base)
+        assert digest == hashlib.sha256(spelled(base).encode()).hexdigest()
