@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from garim.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, toxicity, warc
+from garim.llm import alignment, bpe, decontaminate, html_text, licenses, manifest, quality, secrets, simhash, substrings, token_files, toxicity, warc
 from garim.llm.shared import table
 
 #: The vocabulary that op6 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The two that op13 aligns.
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,13 +59,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op10(table(spark, sf_dir, "pages"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op12(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op13(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_quality, op2_secrets, op3_substrings, op4_decontamination, op5_toxicity, op6_bpe, op7_warc,
-        op8_licenses, op9_simhash, op10_html_text,
+        op8_licenses, op9_simhash, op10_html_text, op11_manifest, op12_token_files, op13_alignment,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle(), "op3_substrings": substrings.ORACLE, "op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle()}
+    return {
+        "op2_secrets": secrets.oracle(), "op3_substrings": substrings.ORACLE, "op7_warc": warc.ORACLE, "op8_licenses": licenses.oracle(),
+        "op11_manifest": manifest.ORACLE,
+    }
