@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garim.functions.spans import running
+from garim.functions.spans import merged, running, splice
 
 # The base patterns. The last two match at once what has the least length, with the same spans.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -198,19 +198,7 @@ def spelled(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with every run of spans that overlap or touch replaced by the mark."""
-    whole = F.coalesce(text, F.lit(""))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] > state["at"]
-        gap = F.substring(whole, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh | (F.size(state["parts"]) == 0), F.concat(state["parts"], F.array(gap, F.lit(mark)))).otherwise(state["parts"]).alias("parts"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return splice(text, merged(spans), lambda s: F.lit(mark))
 
 
 def op2(docs: DataFrame) -> DataFrame:
