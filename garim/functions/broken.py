@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garim.functions import offsets
+
 _EDGE = r"(?<![0-9A-Za-z\-])"
 #: Digits in boxes of their own, or groups of spaced digits around a hyphen; the first counts where both fit.
 SPACED = rf"{_EDGE}[0-9](?: [0-9\-]){{4,}}(?![0-9A-Za-z\-]| [0-9\-])|{_EDGE}[0-9][0-9 ]{{2,}}\s*-\s*[0-9 ]+\s*-?\s*[0-9 ]{{2,}}[0-9](?![0-9])"
@@ -14,18 +18,34 @@ IN_NUMBER = r"(?<=[0-9-])\n(?=[0-9-])|(?<=[A-Za-z])\n(?=[0-9])|(?<=[0-9])\n(?=[A
 SINGLE = r"(?<!\n)\n(?!\n)"
 
 
-def unspaced(text: Column) -> Column:
-    """Text whose spaced fields stand together."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit("")))
-    turns = F.transform(F.array(found), lambda f: F.array_join(F.flatten(F.zip_with(F.split(text, SPACED, -1), f, lambda gap, m: F.array(gap, F.coalesce(m, F.lit(""))))), ""))
-    return F.when(text.rlike(SPACED), turns[0]).otherwise(text)
+def _blanks(found: Column, gap: Column) -> Column:
+    """Runs of spaces of a field, each dropped."""
+    kept = F.transform(F.split(found, " +", -1), F.length)
+    gone = F.concat(F.transform(F.regexp_extract_all(found, F.lit(" +"), F.lit(0)), F.length), F.array(F.lit(0)))
+    return F.concat(F.array(offsets.edit(gap, F.lit(0), F.lit(0))), F.zip_with(kept, gone, lambda k, g: offsets.edit(k, g, F.lit(0))))
 
 
-def repaired(text: Column, aggressive: bool = False) -> Column:
+def steps(aggressive: bool = False) -> list[Callable[[Column], Column]]:
     """Spaced fields together; no break within a word, a space for one within a number, and for any single one if
-    aggressive. Null stays null."""
-    joined = F.regexp_replace(F.regexp_replace(unspaced(text), IN_WORD, ""), IN_NUMBER, " ")
-    return F.regexp_replace(joined, SINGLE, " ") if aggressive else joined
+    aggressive. Steps of `offsets`, whose ends of spans are those of their last characters."""
+    return [
+        lambda s: offsets.rewrite(s, SPACED, lambda m: F.replace(m, F.lit(" "), F.lit("")), _blanks, last=True),
+        lambda s: offsets.rewrite(s, IN_WORD, lambda m: F.lit(""), last=True),
+        lambda s: offsets.rewrite(s, SINGLE if aggressive else IN_NUMBER, lambda m: F.lit(" "), same=True),
+    ]
+
+
+def with_repaired(df: DataFrame, text: str = "text", name: str = "whole", aggressive: bool = False) -> DataFrame:
+    """df with a state of `offsets`: the repaired text and its way back. Null stays null."""
+    return offsets.with_steps(df, text, name, steps(aggressive))
+
+
+def repaired(text: Column, aggressive: bool = False) -> Column:
+    """The repaired text alone, without a way back. Null stays null."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit("")))
+    turns = F.transform(F.array(found), lambda f: F.array_join(F.flatten(F.zip_with(F.split(text, SPACED, -1), f, lambda gap, m: F.array(gap, F.coalesce(m, F.lit(""))))), ""))
+    unspaced = F.when(text.rlike(SPACED), turns[0]).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(unspaced, IN_WORD, ""), SINGLE if aggressive else IN_NUMBER, " ")
 
 
 def sentence_ids(text: Column, starts: Column) -> Column:

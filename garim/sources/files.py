@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garim.functions import broken
+
 EXTENSIONS = ("txt", "md", "csv", "tsv", "docx", "xlsx", "hwpx")
 _ENCODINGS = ("utf-8", "cp949", "euc-kr")
 
@@ -92,8 +94,10 @@ def text_of(path: str, content: bytes) -> str:
     return decoded(content)
 
 
-def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text, error) of all files under a folder whose kind is known; a damaged file has an error."""
+def read_texts(spark: SparkSession, folder: str, way_back: bool = False) -> DataFrame:
+    """(path, text, error) of all files under a folder whose kind is known; a damaged file has an error. Broken lines and
+    spaced fields are repaired in all kinds; `way_back` adds the text as it was (`raw`) and the state (`whole`) by which
+    `offsets.to_source` leads spans back to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS)).select("path", "content")
 
@@ -102,12 +106,14 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows.append({"path": path, "text": text_of(path, content), "error": None})
+                    rows.append({"path": path, "raw": text_of(path, content), "error": None})
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
-                    rows.append({"path": path, "text": None, "error": type(e).__name__})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("text", pa.string()), ("error", pa.string())]))
+                    rows.append({"path": path, "raw": None, "error": type(e).__name__})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("raw", pa.string()), ("error", pa.string())]))
 
-    return files.mapInArrow(run, "path string, text string, error string")
+    found = files.mapInArrow(run, "path string, raw string, error string")
+    found = broken.with_repaired(found, "raw", "whole").withColumn("text", F.col("whole.text"))
+    return found.select("path", "text", "error", *(["raw", "whole"] if way_back else []))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

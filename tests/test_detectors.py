@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from garim.functions import spans as S
 from garim.functions.labels import POLICIES, action
-from garim.functions.normalize import detect_normalized, normalized
+from garim.functions.normalize import detect_normalized, with_normalized
 from garim.operators import analytics, masking, merge
 from garim.operators.detectors import LABELS, detect
 
@@ -121,7 +121,8 @@ def test_unknown_names_are_refused(spark):
 
 
 def test_normalization(spark):
-    assert normalized("０１０‐１２３４")[0] == "010-1234" and normalized("a​b") == ("ab", [0, 2])
+    plain = with_normalized(spark.createDataFrame([("０１０‐１２３４",), ("a​b",)], "text string")).select("normal.text").collect()
+    assert [r.text for r in plain] == ["010-1234", "ab"]
     text = "연락처 ０１０–12​34-５６78 끝"
     df = spark.createDataFrame([(text,), ("phone 010-1234-5678",), (None,), ("",)], "text string")
     rows = [r.spans for r in detect_normalized(df, include=["PHONE"]).collect()]
