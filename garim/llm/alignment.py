@@ -33,13 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garim.llm.chunks import Remembered, flat, taken
+from garim.llm.chunks import Remembered, flat, gathered, taken
 from garim.llm.shared import Texts, discard, saved, small_batches
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are aligned at once.
+AT_ONCE = 2 << 20
+#: Stretches that are remembered at once.
+REMEMBERED = 200_000
 #: Products of groups are expanded token by token up to this size, and over distinct ids beyond it.
 SMALL_GROUP = 64
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, block long, codes array<int>, times array<long>, pairs array<long>, held array<int>"
+NAMES = [f.split()[0] for f in ALIGNED.split(", ")]
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
 
@@ -73,7 +78,7 @@ class Pair:
         self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int32)
         self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int32)
-        self.tokens = Remembered(self._ask)
+        self.tokens = Remembered(self._ask, REMEMBERED)
 
     def _ask(self, stretches: list[str]) -> list[tuple[bytes, bytes, tuple[bytes, bytes] | None]]:
         """Ids of both sides, and what they spell where that isn't the stretch."""
@@ -161,8 +166,8 @@ def _spelled(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.nd
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), groups), pa.scalar(";", pa.large_string())).cast(pa.string())
 
 
-def align_block(column: pa.Array, both: Pair) -> dict[str, pa.Array]:
-    """Columns of `ALIGNED` for a block of texts, but for the first and `block`."""
+def align_texts(column: pa.Array, both: Pair) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and groups of some texts, and each text's distinct id pairs, how often they are linked, and their bounds (n + 1)."""
     texts = Texts(column)
     found, first = stretches(texts)
     coded = found.dictionary_encode()
@@ -176,12 +181,8 @@ def align_block(column: pa.Array, both: Pair) -> dict[str, pa.Array]:
         spelled = [b"".join(tokens[t][2][k] if tokens[t][2] else s.encode() for t, s in zip(own, whole, strict=True)) for k in (0, 1)]
         live[row] &= spelled[0] == spelled[1] == "".join(whole).encode()
     # Tokens of the texts that have any, one text after the other.
-    sides = []
-    for k in (0, 1):
-        ids, bounds = flat([t[k] for t in tokens])
-        ids, bounds = taken(ids, bounds, which[np.repeat(live, np.diff(first))])
-        sides.append(ids)
-    a, b = sides
+    spoken = which[np.repeat(live, np.diff(first))]
+    a, b = (taken(*flat([t[k] for t in tokens]), spoken)[0] for k in (0, 1))
     rows = np.flatnonzero(live)
     text_ends = np.cumsum(np.diff(texts.offs)[rows] + 1)
     a_ends, b_ends = np.cumsum(both.a_sizes[a], dtype=np.int64), np.cumsum(both.b_sizes[b], dtype=np.int64)
@@ -196,17 +197,29 @@ def align_block(column: pa.Array, both: Pair) -> dict[str, pa.Array]:
     listed, codes = np.unique(pairs, return_inverse=True)
     owner = np.searchsorted(of_text, group, side="right") - 1
     keys, back = np.unique(owner << 32 | codes, return_inverse=True)
-    times = np.bincount(back, times, len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-    codes, cuts = keys & 0xFFFFFFFF, np.searchsorted(keys >> 32, np.arange(texts.n + 1))
+    times = np.bincount(back, times, len(keys)).astype(np.int64)
+    cuts = np.searchsorted(keys >> 32, np.arange(texts.n + 1))
     links = np.diff(np.concatenate([[0], np.cumsum(times)])[cuts])
-    once = lambda values, kind: pa.array([values] + [None] * (texts.n - 1), pa.list_(kind))
-    return {
-        "n_a": pa.array(np.diff(a_bounds[of_text])), "n_b": pa.array(np.diff(b_bounds[of_text])), "n_groups": pa.array(np.diff(of_text)), "n_links": pa.array(links),
-        "groups": _spelled(a, a_bounds, b, b_bounds, of_text),
-        "codes": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(codes, pa.int32())),
-        "times": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times)),
-        "pairs": once(listed, pa.int64()), "held": once(np.bincount(codes, minlength=len(listed)).astype(np.int32), pa.int32()),
-    }
+    counts = {"n_a": np.diff(a_bounds[of_text]), "n_b": np.diff(b_bounds[of_text]), "n_groups": np.diff(of_text), "n_links": links}
+    columns = {n: pa.array(c) for n, c in counts.items()} | {"groups": _spelled(a, a_bounds, b, b_bounds, of_text)}
+    return columns, listed[keys & 0xFFFFFFFF], times, cuts
+
+
+def _block(held: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    """The batches of a block, with its list of pairs in the first row."""
+    listed, codes = np.unique(np.concatenate([pairs for _, _, pairs, _, _ in held]), return_inverse=True)
+    codes, at = codes.astype(np.int32), 0
+    for nth, (ids, columns, pairs, times, cuts) in enumerate(held):
+        n = len(ids)
+        once = lambda values, kind: pa.array([values if nth == 0 else None] + [None] * (n - 1), pa.list_(kind))  # noqa: B023, E731
+        columns = {
+            "doc_id": ids, **columns, "block": pa.array(np.full(n, number, np.int64)),
+            "codes": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(codes[at : at + len(pairs)])),
+            "times": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times)),
+            "pairs": once(listed, pa.int64()), "held": once(np.bincount(codes, minlength=len(listed)).astype(np.int32), pa.int32()),
+        }
+        at += len(pairs)
+        yield pa.RecordBatch.from_arrays([columns[n] for n in NAMES], names=NAMES)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,25 +228,17 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, part, nth = pair(a_path, b_path), TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-
-        def made() -> pa.RecordBatch:
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            texts = pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in held])
-            columns = {"doc_id": ids} | align_block(texts, both) | {"block": pa.array(np.full(len(ids), part << 32 | nth, np.int64))}
-            return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-            if sum(b.nbytes for b in held) >= BLOCK_BYTES:
-                yield made()
-                held, nth = [], nth + 1
+        both, number = pair(a_path, b_path), TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in gathered(batches, AT_ONCE):
+            held.append((batch.column(0), *align_texts(batch.column(1), both)))
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield from _block(held, number)
+                held, size, number = [], 0, number + 1
         if held:
-            yield made()
+            yield from _block(held, number)
 
-    names = [f.split()[0] for f in ALIGNED.split(", ")]
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, ALIGNED)
 
 

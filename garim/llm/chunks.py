@@ -6,7 +6,7 @@ the Python worker, up to a bound, for its later batches and tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,19 @@ import pyarrow as pa
 REMEMBERED = 400_000
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in larger ones, of at least so many bytes but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def taken(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges values[bounds[i]:bounds[i + 1]] for each i of `which`, one after the other, and their n + 1 bounds."""
     sizes = np.diff(bounds)[which]
@@ -25,13 +38,13 @@ def taken(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np
 class Remembered:
     """Results of `ask` (keys in, one result each out), kept by key."""
 
-    def __init__(self, ask: Callable[[list[str]], list]):
-        self.ask = ask
+    def __init__(self, ask: Callable[[list[str]], list], most: int | None = None):
+        self.ask, self.most = ask, most
         self.known: dict[str, object] = {}
 
     def __call__(self, keys: list[str]) -> list:
         """The result for each key; keys should be distinct."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (self.most or REMEMBERED):
             self.known.clear()
         known = self.known
         missing = [k for k in keys if k not in known]
