@@ -15,7 +15,7 @@ characters, which it never joins; other pieces go to the library as they are.
 
 Null and empty texts hold the end id alone. Rows without a document id come first; rows of one id stand in the order of
 their texts' hashes, and each repeated row is a document. An empty table gives files without rows. Only the two columns
-named are read. A very long text is one row: an Arrow batch holds it and at most 16 MB besides.
+named are read. A very long text is one row: what is encoded at once holds it and at most `AT_ONCE` bytes besides.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garim.llm.chunks import Remembered, encoded
+from garim.llm.chunks import Remembered, encoded, gathered
 from garim.llm.shared import shared_folder, small_batches, with_columns
 
 END_ID = 2
+#: Bytes of text that are encoded at once: the more, the fewer words are looked up twice.
+AT_ONCE = 8 << 20
 STRIDE = 1000
 ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE),
@@ -69,7 +71,7 @@ def _lookup(vocabulary: str) -> Remembered:
     words = Remembered(ask)
 
     def by_words(pieces: list[str]) -> list[bytes]:
-        cut = [[p] if _WHOLE.search(p) else _RUNS.findall(p.lower()) for p in pieces]
+        cut = [[p.lower()] if p.isascii() and p.isalpha() else [p] if _WHOLE.search(p) else _RUNS.findall(p.lower()) for p in pieces]
         distinct = list({w: None for c in cut for w in c})
         ids = dict(zip(distinct, words(distinct), strict=True))
         return [b"".join([ids[w] for w in c]) for c in cut]
@@ -102,7 +104,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, AT_ONCE):
             ids, bounds = encode_batch(batch.column(1), vocabulary)
             n = len(batch)
             ended = np.insert(ids, bounds[1:], end_id)
