@@ -56,6 +56,39 @@ def running(sizes: Column, joined: Callable[[Column, Column], Column] = lambda a
     return F.flatten(F.transform(F.transform(every, blocks), together))
 
 
+def scan(values: Column, begin: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What an ordered fold emits: `step` takes the state and an entry and gives a struct of the next `state` and an `out` of the type
+    `kind`. The states run through blocks, so no array grows beyond a block's length in steps of one."""
+    none, nested = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def grow(held: Column, x: Column) -> Column:
+        return bound(step(held["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], F.array(r["out"])).alias("out")))
+
+    def over(held: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(held["state"].alias("state"), none.alias("out")), grow)
+        return bound(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(held["outs"], F.array(r["out"])).alias("outs")))
+
+    def blocks(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / _BLOCK).cast("int")), lambda b: F.slice(every, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    start = F.struct(begin.alias("state"), nested.alias("outs"))
+    run = lambda every: F.aggregate(blocks(every), start, over, lambda h: F.flatten(h["outs"]))
+    return bound(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(none))
+
+
+def count_below(ascending: Column, value: Column) -> Column:
+    """How many entries of an ascending array are at most `value`, by binary search."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ascending) + 2)).cast("int"))
+    begin = F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = (s["low"] < s["high"]) & (F.get(ascending, middle) <= value)
+        return F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(F.least(middle, s["high"])).alias("high"))
+
+    return F.aggregate(steps, begin, halved, lambda s: s["low"])
+
+
 def furthest(ends: Column) -> Column:
     """For each entry of an array of places the largest of those before it; -1 for the first."""
     return running(ends, F.greatest, -1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from garim.functions import checks as C
 from garim.functions import spans as S
+from garim.operators.name_context import Syllables, accumulated
 
 INFO, LOW, MEDIUM, HIGH, CRITICAL = range(1, 6)
 #: The day that dates are held against unless a caller names another: results don't change overnight.
@@ -37,7 +38,7 @@ class Rule:
     #: Confidence where `sure` doesn't hold.
     unsure: float | None = None
     sure: Check | None = None
-    #: Confidence by the words around; below `LEAST_SCORE` only a name that scores elsewhere in the text stays.
+    #: Confidence by the words around; `accumulated` then weighs what the text says of the same words elsewhere.
     score: Check | None = None
     #: Characters to leave out at the end of a match.
     trim: str = ""
@@ -398,14 +399,7 @@ NUMERIC = ("RRN", "FRN", "BUSINESS_REG", "CORP_REG", "CARD", "ACCOUNT")
 LABELS = tuple(dict.fromkeys(r.label for r in rules()))
 
 
-def _named(spans: Column) -> Column:
-    """Spans that score enough, and others of the same words, which get the least score."""
-    names = F.transform(F.filter(spans, lambda m: m["confidence"] >= LEAST_SCORE), lambda m: m["text"])
-    kept = F.filter(spans, lambda m: F.array_contains(names, m["text"]))
-    return F.transform(kept, lambda m: m.withField("confidence", F.greatest(m["confidence"], F.lit(LEAST_SCORE))))
-
-
-def _of_rule(rule: Rule, rank: int, column: str) -> Column:
+def _of_rule(rule: Rule, rank: int, column: str, names: Syllables | None = None) -> Column:
     text = F.col(column)
     found = S.find_all(column, rule.pattern, rule.lead, rule.value, rule.label, rule.risk, rule.confidence, rank)
     if rule.trim:
@@ -417,24 +411,26 @@ def _of_rule(rule: Rule, rank: int, column: str) -> Column:
     if rule.keep:
         found = F.filter(found, lambda m: rule.keep(m, text))
     if rule.score:
-        scored = F.transform(found, lambda m: m.withField("confidence", rule.score(m, text)))
-        found = F.transform(F.array(scored), _named)[0]
+        more = lambda m: names.bonus(m["text"]) if names else F.lit(0.0)
+        found = F.transform(found, lambda m: m.withField("confidence", F.least(F.lit(1.0), rule.score(m, text) + more(m))))
     if rule.sure:
         found = F.transform(found, lambda m: m.withField("confidence", F.when(rule.sure(m, text), rule.confidence).otherwise(rule.unsure)))
     return F.transform(found, lambda m: m.dropFields("digits", "number")) if numeric else found
 
 
-def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Column] | None = None) -> Column:
-    """Spans of one label in a column, over all its passes."""
+def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Column] | None = None, names: Syllables | None = None) -> Column:
+    """Spans of one label in a column, over all its passes; of names, candidates with the score of what stands around them, to which
+    a syllable model adds."""
     passes = [(i, r) for i, r in enumerate(rules(as_of)) if r.label == label]
     parts = []
     for i, r in passes:
         open_ = F.lit(True)
         for name in r.gate.split():
             open_ = open_ & (gates[name] if gates else GATES[name](F.col(column)))
-        parts.append(F.when(open_, _of_rule(r, i, column)).otherwise(F.expr(S.NO_SPANS)))
+        parts.append(F.when(open_, _of_rule(r, i, column, names)).otherwise(F.expr(S.NO_SPANS)))
     if len(parts) == 1:
         return parts[0]
+    # Spans of labels whose rules have a score are candidates: `accumulated` tells which of them are names.
     exact = [i for i, r in passes if r.exact]
 
     def clash(kept: Column, x: Column) -> Column:
@@ -444,14 +440,17 @@ def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Co
     return S.first_come(F.concat(*parts), clash)
 
 
-def detect(df: DataFrame, text: str = "text", name: str = "spans", include: list[str] | None = None, exclude: list[str] | None = None, as_of: str = AS_OF) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", name: str = "spans", include: list[str] | None = None, exclude: list[str] | None = None, as_of: str = AS_OF, names: Syllables | None = None) -> DataFrame:
     """df with an array of resolved spans. Labels are chosen before overlaps are resolved, so leaving one
     out can bring up what it covered. Null text has no spans; a column with the name is replaced."""
     chosen = [x for x in LABELS if (not include or x in include) and x not in (exclude or ())]
     gates = {f"_gate_{n}": test(F.col(text)) for n, test in GATES.items()}
     opened = {n: F.col(f"_gate_{n}") for n in GATES}
-    columns = {f"_{x}": F.coalesce(label_spans(x, text, as_of, opened), F.expr(S.NO_SPANS)) for x in chosen}
+    columns = {f"_{x}": F.coalesce(label_spans(x, text, as_of, opened, names), F.expr(S.NO_SPANS)) for x in chosen}
     found = df.withColumns(gates).withColumns(columns)
+    # Columns of their own, since the analyzer takes a round for each level of lambdas.
+    scored = {f"_{r.label}" for r in rules(as_of) if r.score and r.label in chosen}
+    found = found.withColumns({c: accumulated(F.col(c), F.col(text)) for c in scored})
     every = F.concat(*columns) if columns else F.expr(S.NO_SPANS)
     resolved = F.when(F.size(every) > 0, S.resolve(every)).otherwise(F.expr(S.NO_SPANS))
     return found.withColumn(name, resolved).drop(*columns, *gates)
