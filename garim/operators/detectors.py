@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from garim.functions import checks as C
 from garim.functions import spans as S
+from garim.operators.dictionary import Terms
 from garim.operators.name_context import Syllables, accumulated
 
 INFO, LOW, MEDIUM, HIGH, CRITICAL = range(1, 6)
 #: The day that dates are held against unless a caller names another: results don't change overnight.
 AS_OF = "2025-01-01"
 
-LEAST_SCORE = 0.5
+#: The rank of spans that a dictionary gave.
+TERM_RANK = 900
 
 Check = Callable[[Column, Column], Column]
 
@@ -50,6 +52,7 @@ class Rule:
 
 #: Cheap tests that spare most texts most patterns. Each is made once for a text.
 GATES: dict[str, Callable[[Column], Column]] = {
+    "any": lambda t: t.isNotNull(),
     "digit": lambda t: t.rlike("[0-9]"),
     "four": lambda t: t.rlike("[0-9]{4}"),
     "hangul": lambda t: t.rlike("[가-힣]"),
@@ -418,10 +421,12 @@ def _of_rule(rule: Rule, rank: int, column: str, names: Syllables | None = None)
     return F.transform(found, lambda m: m.dropFields("digits", "number")) if numeric else found
 
 
-def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Column] | None = None, names: Syllables | None = None) -> Column:
+def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Column] | None = None, names: Syllables | None = None, terms: Terms | None = None) -> Column:
     """Spans of one label in a column, over all its passes; of names, candidates with the score of what stands around them, to which
-    a syllable model adds."""
+    a syllable model adds. The terms of a dictionary are a last pass."""
     passes = [(i, r) for i, r in enumerate(rules(as_of)) if r.label == label]
+    if terms and terms.terms:
+        passes.append((TERM_RANK, Rule(label, terms.pattern, passes[0][1].risk, 0.95, gate="any")))
     parts = []
     for i, r in passes:
         open_ = F.lit(True)
@@ -440,13 +445,14 @@ def label_spans(label: str, column: str, as_of: str = AS_OF, gates: dict[str, Co
     return S.first_come(F.concat(*parts), clash)
 
 
-def detect(df: DataFrame, text: str = "text", name: str = "spans", include: list[str] | None = None, exclude: list[str] | None = None, as_of: str = AS_OF, names: Syllables | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", name: str = "spans", include: list[str] | None = None, exclude: list[str] | None = None, as_of: str = AS_OF, names: Syllables | None = None, dictionaries: dict[str, Terms] | None = None) -> DataFrame:
     """df with an array of resolved spans. Labels are chosen before overlaps are resolved, so leaving one
-    out can bring up what it covered. Null text has no spans; a column with the name is replaced."""
+    out can bring up what it covered. `dictionaries` gives labels terms of their own, matched after their rules. Null text has no
+    spans; a column with the name is replaced."""
     chosen = [x for x in LABELS if (not include or x in include) and x not in (exclude or ())]
     gates = {f"_gate_{n}": test(F.col(text)) for n, test in GATES.items()}
     opened = {n: F.col(f"_gate_{n}") for n in GATES}
-    columns = {f"_{x}": F.coalesce(label_spans(x, text, as_of, opened, names), F.expr(S.NO_SPANS)) for x in chosen}
+    columns = {f"_{x}": F.coalesce(label_spans(x, text, as_of, opened, names, (dictionaries or {}).get(x)), F.expr(S.NO_SPANS)) for x in chosen}
     found = df.withColumns(gates).withColumns(columns)
     # Columns of their own, since the analyzer takes a round for each level of lambdas.
     scored = {f"_{r.label}" for r in rules(as_of) if r.score and r.label in chosen}
