@@ -111,7 +111,8 @@ def _through(table: dict[str, str]) -> Callable[[Column], Column]:
     """The table as a function of one character; others stay."""
     keys = "".join(table)
     places = "".join(chr(_BASE + i) for i in range(len(table)))
-    values = F.array(*[F.lit(v) for v in table.values()])
+    # One literal, once the optimizer has folded it; an array of thousands would be a tree of as many expressions.
+    values = F.split(F.lit("\x02".join(table.values())), "\x02", -1)
 
     def of(ch: Column) -> Column:
         return bound(F.translate(ch, keys, places), lambda t: F.when(t == ch, ch).otherwise(F.get(values, F.ascii(t) - _BASE)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<label:string,text:string,start:int,end:int,risk_level:int,confidence:double,rank:int>"
@@ -94,6 +94,12 @@ def furthest(ends: Column) -> Column:
     return running(ends, F.greatest, -1)
 
 
+def exploded(df: DataFrame, *kept, spans: str = "spans", name: str = "s") -> DataFrame:
+    """A row for each span. With a plain `explode` the optimizer filters by the array's size below it and works the spans out
+    twice, or many times where columns build on one another."""
+    return df.select(*kept, F.explode_outer(spans).alias(name)).where(F.col(name).isNotNull())
+
+
 def find_all(column: str, pattern: str, lead: int | None = None, value: int = 0, label: str = "", risk: int = 0, confidence: float = 0.0, rank: int = 0) -> Column:
     """A span for each of the leftmost matches that don't overlap. `value` is the group that counts and
     `lead` the one that stands right before it, at the match's start (None: nothing stands there).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from garim.functions import spans as S
 from garim.functions.normalize import detect_normalized
+from garim.functions.spans import exploded
 from garim.operators import masking, tabular, vault
 from garim.operators.fpe import disguised
 
@@ -27,7 +28,7 @@ def anonymize(
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     found = masking.with_actions(detect_normalized(df, text, "spans", **options), mode)
-    long = found.select(key, F.explode("spans").alias("s")).where("s.action = 'BLOCK'").select(key, "s.label", "s.text", "s.start", "s.risk_level")
+    long = exploded(found, key).where("s.action = 'BLOCK'").select(key, "s.label", "s.text", "s.start", "s.risk_level")
     entries = vault.entries(long, key) if strategy in RECORDED else None
     if strategy == "tokenize":
         return vault.tokenize(found, entries, key, text, name=name), entries

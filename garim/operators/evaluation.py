@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garim.functions import checks as C
+from garim.functions.ordered import with_running
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -75,6 +76,18 @@ def thresholds(scored: DataFrame, at: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5, 0
     return _rates(one.select(F.inline(F.array(*rows))))
 
 
+def auc(scored: DataFrame) -> DataFrame:
+    """(n_positive, n_negative, auc) of (score, label): the share of pairs of a positive and a negative whose positive scores higher, ties
+    by half. Exact: equal scores are counted first, and how many negatives lie below comes from ranges and their sums. Null
+    scores and other labels are left out; auc is null without both labels."""
+    known = scored.where("score is not null and label in (0, 1)")
+    counts = known.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    placed = with_running(counts, ["score"], {"below": F.col("neg")})
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    one = placed.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_positive"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_negative"), won.alias("won"))
+    return one.select("n_positive", "n_negative", F.try_divide("won", F.col("n_positive") * F.col("n_negative")).alias("auc"))
+
+
 def operating_point(scored: DataFrame, recall: float, steps: int = 200) -> DataFrame:
     """Of `steps` thresholds that keep this recall the one of the best precision, the least among equals; no row if none does."""
     grid = tuple(i / steps for i in range(1, steps))

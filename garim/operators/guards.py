@@ -3,8 +3,11 @@ their instructions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from garim.functions import spans as S
 from garim.functions.normalize import with_normalized
@@ -160,8 +163,53 @@ def guard_prompt(df: DataFrame, text: str = "text") -> DataFrame:
     return read.withColumn("verdict", verdict).withColumn("categories", names).drop("_normal", "_readings", "_hits")
 
 
+def _common_run(text: str, context: str) -> tuple[int, int, int]:
+    """(length, place in text, place in context) of the longest run of characters that both hold, the first in the text; places
+    are -1 where they share none. Binary search on the length: runs of a length are found by their rolling hashes, taken as
+    differences of prefix sums, and compared as they stand."""
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in (text, context))
+    size = max(len(a), len(b))
+    base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (base, back))
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * powers[: len(x)])]) for x in (a, b)]
+
+    def shared(length: int) -> tuple[int, int] | None:
+        left, right = ((s[length:] - s[:-length]) * inverse[: len(s) - length] for s in sums)
+        order = np.argsort(right, kind="stable")
+        right = right[order]
+        at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+        for i in np.flatnonzero(right[at] == left):
+            j = at[i]
+            while j < len(right) and right[j] == left[i]:
+                if text[i : i + length] == context[order[j] : order[j] + length]:
+                    return int(i), int(order[j])
+                j += 1
+        return None
+
+    low, high, found = 0, min(len(a), len(b)), (-1, -1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        places = shared(middle)
+        low, high, found = (middle, high, places) if places else (low, middle - 1, found)
+    return low, *found
+
+
+_RUN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "start", "context_start")])
+
+
+@F.pandas_udf(_RUN)
+def common_run(texts: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+    """The longest run that a text shares with a context, and its places. Null has none: length 0, places -1."""
+    rows = [_common_run(t or "", c or "") for t, c in zip(texts, contexts, strict=True)]
+    return pd.DataFrame(rows, columns=["length", "start", "context_start"])
+
+
+def leaked_run(text: Column, context: Column, least: int = 30) -> Column:
+    """As `common_run` where it has at least `least` characters; otherwise null."""
+    run = common_run(text, context)
+    return F.transform(F.array(run), lambda r: F.when(r["length"] >= least, r))[0]
+
+
 def repeats_context(text: Column, context: Column, least: int = 30) -> Column:
     """Whether text holds a run of at least `least` characters of the context. Null has none."""
-    runs = F.sequence(F.lit(1), F.length(context) - (least - 1))
-    held = F.exists(runs, lambda i: F.contains(text, F.substring(context, i, F.lit(least))))
-    return F.coalesce(F.when((F.length(context) >= least) & (F.length(text) >= least), held), F.lit(False))
+    return common_run(text, context)["length"] >= least

@@ -71,7 +71,7 @@ class Syllables:
         """The mean probability over the syllables after the first; an unknown one has 0.2. 0 if there is none."""
         keys = "".join(s for s, _ in self.odds)
         places = "".join(chr(0xF0000 + i) for i in range(len(self.odds)))
-        values = F.array(*[F.lit(o) for _, o in self.odds]) if self.odds else F.array(F.lit(0.0))
+        values = F.split(F.lit(",".join(str(o) for _, o in self.odds) or "0"), ",").cast("array<double>")  # folded to one literal
 
         def of(ch: Column) -> Column:
             known = lambda t: F.when(t == ch, F.lit(0.2)).otherwise(1 / (1 + F.exp(-F.get(values, F.ascii(t) - 0xF0000))))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from garim.functions.html import strip_html
 from garim.functions.labels import POLICIES, action
+from garim.functions.spans import exploded
 from garim.operators import analytics, evaluation, guards, masking, merge, review, sequences, tabular, vault
 from garim.operators.detectors import detect
-from garim.plans import extras, lens
+from garim.plans import depth, extras, lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +37,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_spans(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.label", "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.risk_level").cast("long").alias("risk_level"), "s.action")
+    return exploded(df, "doc_id").select("doc_id", "s.label", "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.risk_level").cast("long").alias("risk_level"), "s.action")
 
 
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def _merge_query(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         both = detect(detect(docs, include=["EMAIL", "IP"], name="first"), include=["EMAIL", "CARD"], name="second")
-        spans = both.select("doc_id", F.explode(merge.merged(F.col("first"), F.col("second"), mode, delegated=("CARD",))).alias("s"))
+        spans = exploded(both.withColumn("spans", merge.merged(F.col("first"), F.col("second"), mode, delegated=("CARD",))), "doc_id")
         return spans.groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("s.confidence"), 4).alias("confidence"))
 
     return run
@@ -319,9 +320,9 @@ def queries() -> dict[str, Query]:
     )
     found = {f.__name__: f for f in every}
     found |= {f"merge_{m}": _merge_query(m) for m in merge.MODES}
-    found |= extras.queries()
+    found |= extras.queries() | depth.queries()
     return found | {f"lens_{name}": lens.query(x) for name, x in lens.LENSES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | extras.ORACLES | {f"lens_{name}": lens.oracle(x) for name, x in lens.LENSES.items()}
+    return ORACLES | extras.ORACLES | depth.ORACLES | {f"lens_{name}": lens.oracle(x) for name, x in lens.LENSES.items()}

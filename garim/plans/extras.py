@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garim.functions import broken, names
+from garim.functions.spans import exploded
 from garim.operators import anonymizer, evaluation, fpe, masking, review, vault
 from garim.operators.detectors import detect
 from garim.plans import lens
@@ -176,7 +177,7 @@ def mixed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, which a phone of higher risk takes; a number within a longer one."""
     rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.expr(f"case o_orderkey % 4 {_MIXED} end").alias("text"))
     found = detect(rows, include=["RRN", "PHONE", "EMAIL", "FAX", "CARD", "VEHICLE", "BUSINESS_REG"])
-    return found.select("doc_id", F.inline("spans")).select("doc_id", "label", F.col("text").alias("value"), F.col("start").cast("long").alias("start_at"))
+    return exploded(found, "doc_id").select("doc_id", "s.label", F.col("s.text").alias("value"), F.col("s.start").cast("long").alias("start_at"))
 
 
 _KEY7 = "lpad(cast(o_orderkey % 10000000 as string), 7, '0')"

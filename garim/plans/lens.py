@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garim.functions.spans import exploded
 from garim.operators.detectors import detect
 
 
@@ -97,7 +98,7 @@ def sentences(spark: SparkSession, sf_dir: str, lens: Lens) -> DataFrame:
 def query(lens: Lens):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = detect(sentences(spark, sf_dir, lens), include=[lens.label])
-        return found.select("doc_id", F.explode("spans").alias("s")).select(
+        return exploded(found, "doc_id").select(
             "doc_id", F.col("s.label").alias("label"), F.col("s.text").alias("value"), F.col("s.start").cast("long").alias("start_at"),
             F.col("s.end").cast("long").alias("end_at"), F.col("s.risk_level").cast("long").alias("risk"), F.round("s.confidence", 2).alias("confidence"),
         )

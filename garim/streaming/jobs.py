@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from garim.functions.spans import exploded
 from garim.operators.detectors import detect
 
 
 def detection_rate(stream: DataFrame, window: str = "10 minutes", late: str = "30 minutes", time: str = "ts", text: str = "text", include: list[str] | None = None) -> DataFrame:
     """Spans of each label per tumbling window of event time; events later than the watermark are dropped."""
-    spans = detect(stream.withWatermark(time, late), text, include=include).select(time, F.explode("spans").alias("s"))
+    spans = exploded(detect(stream.withWatermark(time, late), text, include=include), time)
     counts = spans.groupBy(F.window(time, window), F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), "label", "n")
 
