@@ -55,12 +55,14 @@ _FRAME = frozenset("header masthead menu modal nav navbar navigation search side
 _NAMES = _FRAME | frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " copyright disqus footer login newsletter notice notices popup promo promoted promotion recommended related replies reply respond responses"
-    " share sharing signup social sponsor sponsored subscribe subscription toolbar".split()
+    " share sharing signup social sponsor sponsored subscribe subscription toolbar"
+    " adsbygoogle adsense adbox adslot adunit commentarea commentbox commentform commentlist commentrespond navmenu newsletterform popover sidebarleft"
+    " sidebarright sidemenu signupform socialshare topmenu".split()
 )
 #: Parts that say nothing by themselves.
 _PLAIN = frozenset(
-    "area articles aside bar block blocks bottom box btn button buttons card cards col column container content desktop form google group header icons"
-    " inner item items left link links list main mobile outer page panel policy post posts primary right row secondary section site slot small social"
+    "area articles aside bar block blocks bottom box btn button buttons card cards col column container content desktop embed form google group header"
+    " horizontal icons inline inner item items left link links list main mobile outer page panel policy post posts primary right row secondary section site slot small social"
     " sticky stories the thread top unit wrap wrapper".split()
 )
 #: Last parts that settle a name whatever comes first, but for these first parts, which describe a layout.
@@ -104,13 +106,32 @@ def _named(value: str, whole: bool) -> bool:
     parts = [p.lower() for p in _PARTS.findall(value)]
     if not any(p in _NAMES for p in parts):
         return False
-    return all(p in _NAMES or p in _PLAIN for p in parts) or not whole and parts[-1] in _LAST and parts[0] not in _LAYOUT
+    if all(p in _NAMES or p in _PLAIN for p in parts):
+        return True
+    # One part that is not known is outweighed by two that are, or by a last one that settles it.
+    return not whole and parts[0] not in _LAYOUT and (parts[-1] in _LAST or sum(p in _NAMES for p in parts) >= 2)
+
+
+#: Elements that stay whatever their style says: pages hide them until a script has run.
+_SHOWN = frozenset(("html", "body", "main", "article"))
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def _hidden(rest: str) -> bool:
+    low = rest.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" and value.lower() != "until-found" or key == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
 
 
 def _kind(name: str, rest: str, inside: bool) -> str:
     """'' for an element that may hold the article, 'hard' and 'out' for one that can't (by tag, by name), 'form'
     and 'frame' for one that might be a wrapper."""
-    if name in _DROPPED:
+    if name in _DROPPED or name not in _SHOWN and _hidden(rest):
         return "hard"
     found = "form" if name == "form" else ""
     if name in ("body", "html", "main") or "=" not in rest:
@@ -150,6 +171,7 @@ class Line:
     soft: int
     passage: bool
     gap: bool  # whether an element was left out before it and it stands elsewhere than the line before
+    headline: bool = False
 
 
 class _Reader:
@@ -178,7 +200,7 @@ class _Reader:
                 container = top.container if top else 0
                 gap = any(not self._within(p, container) for p in self.left_out)
                 self.left_out.clear()
-                self.lines.append(Line(text, self.links, self.article > 0, top.soft if top else 0, self._place(_PASSAGES) >= 0, gap))
+                self.lines.append(Line(text, self.links, self.article > 0, top.soft if top else 0, self._place(_PASSAGES) >= 0, gap, bool(self.at.get("h1"))))
                 self.last = self.seen, container
         self.links = 0
 
@@ -318,7 +340,10 @@ def lines(page: str) -> tuple[list[Line], np.ndarray, bool]:
         line.gap |= gap
         gap = False
         kept.append(line)
-    marked = any(line.article for line in kept)
+    first = next((i for i, line in enumerate(kept) if line.article), None)
+    marked = first is not None
+    if first and kept[first - 1].headline and not any(line.article and line.headline for line in kept):
+        kept[first - 1].article = True  # the article's headline stands right before it
     weights = [len(x.text) if (x.article if marked else 2 * x.links <= len(x.text)) else 0 for x in kept]
     return kept, np.array(weights, np.int64), marked
 

@@ -100,3 +100,25 @@ def test_query_and_long_page(spark):
     assert all(found[i].text == t and found[i].n_chars == len(t) for i, (_, t) in enumerate(PAGES))
     assert found[99].n_chars == 39999 and found[99].url is None
     assert H.op10(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+WORDS = "The town council met on Monday and spoke about the bridge for two hours, as the mayor had asked it to do. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{WORDS}</p></article><ol class='commentlist'><li>c1 said a lot about this</li></ol>", WORDS.strip()),
+        (f"<div><p>{WORDS}</p><p>{WORDS}</p></div><ol class=commentlist><li>{WORDS}</li></ol>", f"{WORDS.strip()} {WORDS.strip()}"),
+        (f"<article><p>{WORDS}</p><div class='newsletter-signup-inline'>Sign up now</div><p>{WORDS}</p></article>", f"{WORDS.strip()} {WORDS.strip()}"),
+        (f"<article><p>{WORDS}</p><div class='promo-xyz-newsletter'>Sign up now</div></article>", WORDS.strip()),
+        (f"<div><h1>Bridge to close</h1></div><article><p>{WORDS}</p></article>", f"Bridge to close {WORDS.strip()}"),
+        (f"<div><h1>The Daily</h1></div><article><h1>Bridge to close</h1><p>{WORDS}</p></article>", f"Bridge to close {WORDS.strip()}"),
+        (f"<div><h1>The Daily</h1></div><p>Monday</p><article><p>{WORDS}</p></article>", WORDS.strip()),
+        (f"<article><p hidden>no</p><p style='color:red; display : none'>no</p><p>{WORDS}</p><p style='display:block'>yes</p></article>", f"{WORDS.strip()} yes"),
+        (f"<body style='display:none'><article><p hidden=until-found>{WORDS}</p><div hidden><p>no</p></div></article></body>", WORDS.strip()),
+        (f"<article class='has-sidebar-comments-xyz'><p>{WORDS}</p></article>", WORDS.strip()),
+    ],
+)
+def test_comments_boxes_headlines_and_hidden_elements(page, text):
+    assert H.main_text(page) == text
