@@ -172,10 +172,15 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymizer.totals(keys)
 
 
+def mixed_sentence() -> str:
+    """A sentence for each order, in SQL."""
+    return f"case o_orderkey % 4 {_MIXED} end"
+
+
 def mixed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with several labels, of which all rules run: a resident's number, a phone, a mail address; a fax's
     number, which a phone of higher risk takes; a number within a longer one."""
-    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.expr(f"case o_orderkey % 4 {_MIXED} end").alias("text"))
+    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.expr(mixed_sentence()).alias("text"))
     found = detect(rows, include=["RRN", "PHONE", "EMAIL", "FAX", "CARD", "VEHICLE", "BUSINESS_REG"])
     return exploded(found, "doc_id").select("doc_id", "s.label", F.col("s.text").alias("value"), F.col("s.start").cast("long").alias("start_at"))
 
