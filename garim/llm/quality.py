@@ -93,7 +93,24 @@ def _features(texts: list[str | None], at_once: int = 200) -> tuple[np.ndarray,
             found[0].append((start + (pair >> SLOTS)).astype(np.int32))
             found[1].append(((pair & ((1 << SLOTS) - 1)) + (kind << SLOTS)).astype(np.int32))
             found[2].append((count / np.maximum(np.diff(bounds), 1)[pair >> SLOTS]).astype(np.float32))
-    return tuple(map(np.concatenate, found))
+    out = []
+    for part in found:
+        out.append(np.concatenate(part))
+        part.clear()
+    return tuple(out)
+
+
+#: Features that are multiplied at once.
+AT_ONCE = 1 << 20
+
+
+def _dot(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The sum of value times weight for each row."""
+    out = np.zeros(n)
+    for a in range(0, len(rows), AT_ONCE):
+        part = slice(a, a + AT_ONCE)
+        out += np.bincount(rows[part], values[part] * weights[columns[part]], minlength=n)
+    return out
 
 
 def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
@@ -104,16 +121,22 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
         return always
     rows, columns, values = _features(texts)
     here = train[rows]
-    r, c, v = rows[here], columns[here], values[here]
+    # One array at a time, since each is large.
+    r, rest_r = rows[here], rows[~here]
+    del rows
+    c, rest_c = columns[here], columns[~here]
+    del columns
+    v, rest_v = values[here], values[~here]
+    del values, here
     weights = np.zeros(len(KINDS) << SLOTS)
     bias, y = 0.0, labels.astype(float)
     share = y[train].mean()
     balance = np.where(train, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)), 0) / train.sum()
     m1, m2, b1, b2 = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(r, v * weights[c], minlength=len(texts)) + bias
+        z = _dot(r, c, v, weights, len(texts)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        g, gb = np.bincount(c, v * error[r], minlength=len(weights)) + DECAY * weights, error.sum()
+        g, gb = _dot(c, r, v, error, len(weights)) + DECAY * weights, error.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -121,7 +144,7 @@ def fit(texts: list[str | None], labels: np.ndarray, fold: np.ndarray) -> Model:
         bias -= RATE * fix * b1 / (np.sqrt(b2) + 1e-8)
     model = Model(weights.reshape(len(KINDS), -1).astype(np.float32), bias)
     if len(set(labels[fold])) == 2:
-        raw = np.bincount(rows, values * weights[columns], minlength=len(texts)) + bias
+        raw = _dot(rest_r, rest_c, rest_v, weights, len(texts)) + bias
         model.slope, model.offset = platt(raw[fold], y[fold])
     return model
 
