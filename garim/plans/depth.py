@@ -103,7 +103,7 @@ def school_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often long words of the benchmark stand in all documents: thousands of terms, an automaton."""
+    """How often long words of the benchmark stand in all documents: a trie, or an automaton where there are thousands."""
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("term"))
     found = dictionary.with_terms(_table(spark, sf_dir, "documents").select("text"), dictionary.Terms.of(words, "A-Za-z"))
     return found.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
