@@ -22,6 +22,7 @@ rows. Only the two columns named are read. A very long text is a block by itself
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +39,7 @@ from garim.llm.shared import Texts, discard, saved, small_batches
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that are aligned at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 3 << 19
 #: Stretches that are remembered at once.
 REMEMBERED = 200_000
 #: Products of groups are expanded token by token up to this size, and over distinct ids beyond it.
@@ -84,12 +85,23 @@ class Pair:
         """Ids of both sides, and what they spell where that isn't the stretch."""
         left = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
         right = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        out = []
-        for stretch, a, b in zip(stretches, left, right, strict=True):
-            spelled = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
-            wrong = None if spelled[0] == spelled[1] == stretch.encode() else spelled
-            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), wrong))
-        return out
+        # ASCII of the right length is spelled as it stands: normalisers leave it alone but for white space that they drop.
+        lengths = np.array([len(s) if s.isascii() else -1 for s in stretches])
+        (a, a_right), (b, b_right) = (_packed(ids, sizes, lengths) for ids, sizes in ((left, self.a_sizes), (right, self.b_sizes)))
+        wrong: list[tuple[bytes, bytes] | None] = [None] * len(stretches)
+        for i in np.flatnonzero(~(a_right & b_right)):
+            spelled = b"".join(map(self.a_bytes.__getitem__, left[i])), b"".join(map(self.b_bytes.__getitem__, right[i]))
+            wrong[i] = None if spelled[0] == spelled[1] == stretches[i].encode() else spelled
+        return list(zip(a, b, wrong, strict=True))
+
+
+def _packed(ids: list[list[int]], sizes: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each list as 32-bit integers, and whether its tokens come to the length."""
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    every = np.fromiter(itertools.chain.from_iterable(ids), np.int32, bounds[-1])
+    told = np.concatenate([[0], np.cumsum(sizes[every], dtype=np.int64)])[bounds]
+    data, cuts = every.tobytes(), (4 * bounds).tolist()
+    return [data[x:y] for x, y in itertools.pairwise(cuts)], np.diff(told) == lengths
 
 
 @lru_cache(maxsize=2)
