@@ -133,3 +133,11 @@ def test_normalization(spark):
 def test_prescription_without_four_digits_in_a_row(spark):
     found = detect(spark.createDataFrame([("처방번호 AB-1A2-3C4",)], "text string"), include=["PRESCRIPTION_ID"]).first()
     assert [x.text for x in found.spans] == ["AB-1A2-3C4"]
+
+
+def test_words_that_end_like_a_sections_are_none(spark):
+    """An address behind a word of another language; by form, behind any word."""
+    df = spark.createDataFrame([("équeèch 22.128.123.146",), ("zu ver 42.244.84.203",), ("Ch 1.2.3.4",)], "text string")
+    addresses = lambda **how: [[s.text for s in r.spans] for r in detect(df, include=["IP"], **how).collect()]
+    assert addresses() == [["22.128.123.146"], [], []]
+    assert addresses(by_form=("IP",)) == [["22.128.123.146"], ["42.244.84.203"], ["1.2.3.4"]]
