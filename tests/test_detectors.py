@@ -141,3 +141,10 @@ def test_words_that_end_like_a_sections_are_none(spark):
     addresses = lambda **how: [[s.text for s in r.spans] for r in detect(df, include=["IP"], **how).collect()]
     assert addresses() == [["22.128.123.146"], [], []]
     assert addresses(by_form=("IP",)) == [["22.128.123.146"], ["42.244.84.203"], ["1.2.3.4"]]
+
+
+def test_corporate_numbers_that_are_residents_too(spark):
+    """A number whose both check digits hold, of a 31st: no corporation's by the calendar, one where days end at the 28th."""
+    df = spark.createDataFrame([("법인 110731-0426098 입니다.",), ("법인 191211-0006637 입니다.",)], "text string")
+    found = lambda **how: [len(r.spans) for r in detect(df, include=["CORP_REG"], **how).collect()]
+    assert found() == [0, 1] and found(last_day=28) == [1, 1]
