@@ -166,7 +166,7 @@ def audit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunked_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one return flag within each order, from tags that were made chunk by chunk with some places in common."""
-    flags = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_returnflag").alias("ch")).dropDuplicates(["doc_id", "pos"])
+    flags = sequences.first_of_places(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
     dealt = sequences.chunks(flags.withColumn("score", F.lit(1.0)), 3, 1)
     # Each chunk begins afresh.
     tagged = dealt.withColumn("tag", F.concat(F.when(F.col("pos") % 3 == 0, "B-").otherwise("I-"), "ch"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from garim.functions.ordered import with_running
 from garim.operators import classifier, evaluation, guards, sequences, vault
-from garim.plans import depth
+from garim.plans import catalog, depth
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "labels", "lineitem", "customer", "nation", "region", "documents", "benchmark")
@@ -120,3 +120,16 @@ def test_bioes_and_chunks(spark):
     assert sorted(r.tag for r in sequences.joined_chunks(dealt).collect()) == sorted(tags)
     with pytest.raises(ValueError):
         sequences.chunks(df, 2, 2)
+
+
+def test_islands_of_places_that_come_twice(spark, tmp_path):
+    """The row that comes first in the files counts, whichever task ends first: Spark reads the longest file first."""
+    row = "l_orderkey long, l_linenumber int, l_returnflag string"
+    for name, rows in (("a", [(1, 1, "A")]), ("b", [(1, 1, "R"), (1, 2, "R")] + [(k, 1, "N") for k in range(2, 20000)])):
+        spark.createDataFrame(rows, row).coalesce(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name in "ab":
+        next((tmp_path / name).glob("part-*")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    for query in (catalog.bio_islands, depth.chunked_islands):
+        found = query(spark, str(tmp_path)).where("doc_id = 1").select("label", "start", "end", "n").collect()
+        assert sorted(map(tuple, found)) == [("A", 1, 2, 1), ("R", 2, 3, 1)]
