@@ -145,6 +145,6 @@ def test_words_that_end_like_a_sections_are_none(spark):
 
 def test_corporate_numbers_that_are_residents_too(spark):
     """A number whose both check digits hold, of a 31st: no corporation's by the calendar, one where days end at the 28th."""
-    df = spark.createDataFrame([("법인 110731-0426098 입니다.",), ("법인 191211-0006637 입니다.",)], "text string")
+    df = spark.createDataFrame([("법인 110731-0426098 입니다.",), ("법인 130111-0006246 입니다.",)], "text string")
     found = lambda **how: [len(r.spans) for r in detect(df, include=["CORP_REG"], **how).collect()]
     assert found() == [0, 1] and found(last_day=28) == [1, 1]
