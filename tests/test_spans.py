@@ -86,3 +86,16 @@ def test_four_times_the_spans_take_less_than_eight_times_as_long(spark, kind):
         return masking.mask_text(masking.with_actions(detect(df, include=["EMAIL"]), "STRICT"), "redact").select(F.length("text_out"))
 
     assert taken(query(16000)) < 8 * taken(query(4000))
+
+
+def test_a_text_is_cut_as_split_does_without_compiling_its_pattern(spark):
+    """Ten thousand texts and a pattern of 60,000 characters: compiled for each text, they took minutes."""
+    words = [f"w{i}x" for i in range(10_000)]
+    pattern = "|".join(words)
+    texts = ["", "w1x", "aw1xw2xb", "w3x￿ w4x\n", None, "￿", "none"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", S.pieces(F.col("text"), pattern).alias("mine"), F.split("text", pattern, -1).alias("spark")).collect()
+    assert [r.mine for r in rows] == [r.spark for r in rows]
+    many = spark.range(10_000).select(F.concat(F.lit("a w1x "), "id").alias("text")).select(F.size(S.pieces(F.col("text"), pattern)).alias("n"), S.find_all("text", pattern).alias("s"))
+    began = time.time()
+    assert many.where("n = 2 and s[0].start = 2 and size(s) = 1").count() == 10_000
+    assert time.time() - began < 60
