@@ -52,3 +52,13 @@ def test_too_large_a_dictionary_is_refused(spark, monkeypatch):
     monkeypatch.setattr(D, "MOST_TERMS", 2)
     with pytest.raises(ValueError):
         D.Terms.of(spark.createDataFrame([("a",), ("b",), ("c",)], "term string"))
+
+
+def test_automaton_holds_no_object_for_each_find_of_a_batch(spark, monkeypatch):
+    """Parts of a batch come out in order, with empty and null texts, and no more than a part's finds are objects at once."""
+    monkeypatch.setattr(D, "SMALL_TERMS", 0)
+    monkeypatch.setattr(D, "AT_ONCE", 3)
+    texts = ["ab cd", "", None, "cd", "x", "abcd ab", "cd  ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    found = D.with_terms(rows, D.Terms(("ab", "cd")), "t").orderBy("i").collect()
+    assert [[(x.term, x.start, x.end) for x in r.terms] for r in found] == [[("ab", 0, 2), ("cd", 3, 5)], [], [], [("cd", 0, 2)], [], [("ab", 5, 7)], [("cd", 0, 2), ("ab", 4, 6)]]
