@@ -5,14 +5,17 @@ Operator 9 links texts whose SimHash fingerprints over these shingles lie within
 similarity 0.8 often lie further apart than any ball can reach, so texts that agree in all `ROWS` minimums of one of
 `BANDS` bands are paired as well. Two texts of similarity s do so with probability 1 - (1 - s ** ROWS) ** BANDS:
 0.9996 at 0.8, more above. Every pair that is linked is checked on the texts themselves, so no link lies below the
-threshold.
+threshold. All texts whose fingerprints hang together by such balls are one more bucket beside those of the bands.
 
 Equal texts collapse first. Pairs are sifted by the share of `BANDS` * `ROWS` minimums, of which a byte each is kept,
 on which they agree: a pair of similarity 0.8 falls below `SIFT` once in some million times. Only the texts of the
-rest are compared. In a bucket of at most `SMALL` texts all pairs are compared that other links don't connect yet; in a
-larger one all texts are compared with a few centres, first of all with the text that shares most with the others, the original of a group of
-edited copies; then with more of those that no centre matched, until none is left. What this can miss is a pair
-that, in each bucket it shares, matches different centres.
+rest are compared. In a bucket of more than `SMALL` texts all texts are compared with a few centres, first of all with the text that
+shares most with the others, the original of a group of edited copies; then with more of those that no centre matched, until none is
+left. At last, in every bucket, all pairs are compared that those links don't connect and of which neither was a centre there.
+So within a bucket no link between groups is lost. Texts that match no centre are each held against the whole bucket: these
+comparisons grow as the square of their number.
+
+Joins with texts are told to merge: a list of wanted texts that is small enough to be broadcast is so on small inputs alone.
 """
 
 from __future__ import annotations
@@ -105,8 +108,8 @@ def _sifted(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts' Jaccard similarity reaches `least`."""
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
-    both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
 
     def start():
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -127,29 +130,35 @@ def _ordered(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _within_balls(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts with the same SimHash, as stars, and of the first texts of linked ones; a written table."""
+def _balls(distinct: DataFrame) -> DataFrame:
+    """(fp, band) of all texts with a SimHash: those whose SimHashes are equal or linked, through others too, share a band."""
     sims = distinct.select("fp", "sim").where("sim is not null")
-    # Written first, so that the join with a hot fingerprint can be split.
-    firsts = saved(sims.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")
-    pairs = sims.join(firsts, "sim").where("fp <> first").select(*_ordered("fp", "first"))
-    near = simhash.links(firsts.select(F.col("sim").alias("fp")))
-    near = near.join(firsts.select(F.col("sim").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sim").alias("b"), F.col("first").alias("y")), "b")
-    out = saved(pairs.union(near.select(*_ordered("x", "y"))).distinct(), "balls")
-    discard(firsts)
+    rooted = connected_components(simhash.links(sims.select(F.col("sim").alias("fp"))))
+    of = sims.join(rooted, F.col("sim") == F.col("node"), "left")
+    out = saved(of.select("fp", F.xxhash64(F.lit("ball"), F.coalesce("root", "sim")).alias("band")), "balls")
+    discard(rooted)
     return out
 
 
+def _between_groups(grouped: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts of one band and different roots, of (band, fp, root). Pairs of roots come first, so that the
+    texts of one root are not held against each other."""
+    roots = grouped.select("band", "root").distinct()
+    apart = roots.toDF("band", "root_a").join(roots.toDF("band", "root_b"), "band").where("root_a < root_b")
+    pairs = apart.join(grouped.toDF("band", "x", "root_a"), ["band", "root_a"]).join(grouped.toDF("band", "y", "root_b"), ["band", "root_b"])
+    return pairs.select(*_ordered("x", "y")).distinct()
+
+
 def _texts(prints: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, text), once for each fingerprint that is wanted; a written table."""
-    return saved(prints.select("fp", "text").join(wanted.toDF("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    return saved(prints.select("fp", "text").join(wanted.toDF("fp").distinct().hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
 
 
 def links(prints: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
     """Links (a, b) between the distinct values of `fp` of (fp, text, sim, bands, sig), each of at least this similarity."""
     distinct = saved(prints.select("fp", "sim", "bands", "sig").dropDuplicates(["fp"]), "distinct")
-    balls, sigs = _within_balls(distinct), distinct.select("fp", "sig").where("sig is not null")
-    members = distinct.select("fp", F.explode("bands").alias("band"))
+    balls, sigs = _balls(distinct), distinct.select("fp", "sig").where("sig is not null")
+    members = distinct.select("fp", F.explode("bands").alias("band")).union(balls)
     # Written first, so that joins with large buckets can be split.
     buckets = saved(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = saved(members.join(buckets, "band"), "shared")
@@ -158,12 +167,11 @@ def links(prints: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFr
     weights = shared.where(F.col("n") > SMALL).groupBy("fp").agg(F.sum("n").alias("weight"))
     weights = saved(weights, "weights")
 
-    pairs = _sifted(balls, sigs)
-    texts = _texts(prints, pairs.select("a").union(pairs.select("b")).union(big.select("fp")))
-    found = [saved(_similar(pairs, texts, least, words), "similar")]
-    old = [distinct, balls, buckets, weights, pairs]
+    texts = _texts(prints, big.select("fp"))
+    found = [prints.sparkSession.createDataFrame([], "a long, b long")]
+    old = [distinct, balls, buckets, weights]
 
-    live, many = saved(big.join(weights, "fp"), "live"), 1
+    live, many, rest = saved(big.join(weights, "fp"), "live"), 1, big
     old.append(live)
     while live.head(1):
         nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "fp"))
@@ -175,20 +183,20 @@ def links(prints: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFr
         after = saved(live.join(hit, ["band", "fp"], "left_anti"), "live")
         old += [centres, tried, pairs, after]
         found.append(near)
+        rest = rest.join(centres.toDF("band", "fp"), ["band", "fp"], "left_anti")
         live, many = after, min(4 * many, MOST_CENTRES)
 
-    # Pairs of small buckets come last: those that links connect already need no comparison.
+    # Other pairs come last: those that links connect already need no comparison.
     joined = found[0]
     for near in found[1:]:
         joined = joined.union(near)
     rooted = saved(connected_components(joined.distinct()), "rooted")
-    grouped = small.select("band", "fp").join(rooted, F.col("fp") == F.col("node"), "left")
+    grouped = small.select("band", "fp").union(rest.select("band", "fp")).join(rooted, F.col("fp") == F.col("node"), "left")
     grouped = saved(grouped.select("band", "fp", F.coalesce("root", "fp").alias("root")), "grouped")
-    one, other = grouped.toDF("band", "a", "root_a"), grouped.toDF("band", "b", "root_b")
-    pairs = _sifted(one.join(other, "band").where("a < b and root_a <> root_b").select("a", "b").distinct(), sigs)
-    rest = _texts(prints, pairs.select("a").union(pairs.select("b")))
-    found.append(saved(_similar(pairs, rest, least, words), "similar"))
-    old += [rooted, grouped, pairs, rest]
+    pairs = _sifted(_between_groups(grouped), sigs)
+    last = _texts(prints, pairs.select("a").union(pairs.select("b")))
+    found.append(saved(_similar(pairs, last, least, words), "similar"))
+    old += [rooted, grouped, pairs, last]
 
     out = found[0]
     for near in found[1:]:

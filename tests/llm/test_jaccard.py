@@ -49,3 +49,17 @@ def test_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
     found = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(docs).collect())
     assert found == [(0, ""), (0, text), (1, text + " end"), (1, text + " end"), (3, "other words here")]
+
+
+def test_no_link_of_a_bucket_is_left_out(spark, rng, monkeypatch):
+    """Texts of one SimHash or one bucket, whose first text or centre only some are like: the others' links stay."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    bases = [words(rng, 100, 5000) for _ in range(3)]
+    texts = [" ".join(b[:98] + [f"x{k}", f"y{k}"]) for b in bases for k in range(4)]
+    prints = jaccard.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    one = jaccard.F.lit(1).cast("long")
+    for alike in ({"sim": one, "bands": jaccard.F.array().cast("array<long>")}, {"bands": jaccard.F.array(one)}):
+        table = jaccard.saved(prints.withColumns(alike), "alike")
+        found = jaccard.simhash.components(table, linked=jaccard.links(table))
+        of = {r.doc_id: r.component_id for r in table.join(found, "fp").collect()}
+        assert of == {i: i - i % 4 for i in range(12)}
