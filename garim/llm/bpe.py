@@ -17,6 +17,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from garim.llm.shared import strings, with_columns
 
 #: Words whose pieces a Python worker remembers at once; then it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 
 
@@ -72,6 +73,18 @@ def _library_splitter(pattern: str):
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
 
 
+class _Remembered(dict):
+    """Pieces by word, made where they are missing."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.make(word)
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -95,8 +108,8 @@ class Codec:
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self._pattern = pattern
         self._pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self._of_chunk: dict[str, bytes] = {}
-        self._of_word: dict[str, bytes] = {}
+        self._of_word = _Remembered(lambda word: np.array(self.merge(word), np.int32).tobytes())
+        self._of_chunk = _Remembered(lambda chunk: self._words(self._split(chunk)))
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -133,17 +146,8 @@ class Codec:
                 heapq.heappush(queue, left[0] << 40 | h)
         return [s for s in symbol if s >= 0]
 
-    def _word(self, word: str) -> bytes:
-        found = self._of_word.get(word)
-        if found is None:
-            found = self._of_word[word] = np.array(self.merge(word), np.int32).tobytes()
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self._of_chunk.get(chunk)
-        if found is None:
-            found = self._of_chunk[chunk] = b"".join(map(self._word, self._split(chunk)))
-        return found
+    def _words(self, words: list[str]) -> bytes:
+        return b"".join(map(self._of_word.__getitem__, words))
 
     def _split(self, text: str) -> list[str]:
         """Normalised pre-tokens."""
@@ -160,8 +164,8 @@ class Codec:
     def _plain(self, text: str) -> bytes:
         # No character composes with white space, so chunks are normalised one by one.
         if _ODD_SPACES.search(text):  # white space for str.split, but not for the pattern
-            return b"".join(map(self._word, self._split(text)))
-        return b"".join(map(self._chunk, text.split()))
+            return self._words(self._split(text))
+        return b"".join(map(self._of_chunk.__getitem__, text.split()))
 
     def encode(self, text: str | None) -> np.ndarray:
         if len(self._of_chunk) > REMEMBERED:

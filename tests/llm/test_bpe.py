@@ -69,3 +69,13 @@ def test_pairs_of_rare_characters(library, rng):
     for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert codec.encode(text).tolist() == expected.ids, ascii(text)
 
+
+
+def test_words_of_a_large_corpus_are_merged_once(monkeypatch):
+    coder = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, word: asked.append(word) or [7])
+    text = " ".join("".join("abcdefghij"[int(d)] for d in str(i)) for i in range(250_000))
+    for t in (text, "a", text):
+        coder.encode(t)
+    assert len(asked) == 250_000
