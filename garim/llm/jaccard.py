@@ -9,11 +9,13 @@ threshold. All texts whose fingerprints hang together by such balls are one more
 
 Equal texts collapse first. Pairs are sifted by the share of `BANDS` * `ROWS` minimums, of which a byte each is kept,
 on which they agree: a pair of similarity 0.8 falls below `SIFT` once in some million times. Only the texts of the
-rest are compared. In a bucket of more than `SMALL` texts all texts are compared with a few centres, first of all with the text that
-shares most with the others, the original of a group of edited copies; then with more of those that no centre matched, until none is
-left. At last, in every bucket, all pairs are compared that those links don't connect and of which neither was a centre there.
-So within a bucket no link between groups is lost. Texts that match no centre are each held against the whole bucket: these
-comparisons grow as the square of their number.
+rest are compared. In a bucket of more than `SMALL` texts all texts are compared with a few centres (`CENTRES`), first of all with the
+text that shares most with the others, the original of a group of edited copies. That is a bounded number of pairs for each text.
+At last every bucket's texts that those links don't connect are compared: in small ones pair by pair, in large ones block by block
+(`_between_blocks`). A block is some of a bucket's texts; a task counts the shingles that all texts of two blocks share, exactly and
+without a row for each pair, and returns no more links than the blocks have texts, enough to connect all that are similar.
+So no link of a bucket between groups is lost. The time for texts that match no centre still grows as the square of their number in
+one bucket, by a product of matrices; a task's memory and rows are bounded by `BLOCK` and `BLOCK_BYTES`.
 
 Joins with texts are told to merge: a list of wanted texts that is small enough to be broadcast is so on small inputs alone.
 """
@@ -34,7 +36,12 @@ WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 5
 SMALL = 16
-MOST_CENTRES = 256
+#: Centres of a large bucket, by round.
+CENTRES = (1, 4)
+#: Texts of a block and their bytes, about.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Shingles whose texts are multiplied at once.
+SLAB = 1 << 12
 #: The least share of minimums that a pair worth comparing agrees on.
 SIFT = 0.6
 #: Shingles that are worked on at once, so that they stay in the cache.
@@ -149,6 +156,82 @@ def _between_groups(grouped: DataFrame) -> DataFrame:
     return pairs.select(*_ordered("x", "y")).distinct()
 
 
+def _forest(left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Some of the pairs of indices, fewer than twice the labels, that connect the labels of all pairs; labels are indices too."""
+    live, kept = np.arange(len(left)), [np.zeros(0, np.int64)]
+    while True:
+        live = live[label[left[live]] != label[right[live]]]
+        if not len(live):
+            return np.concatenate(kept)
+        # A pair for each label that one leads from.
+        _, first = np.unique(np.concatenate([label[left[live]], label[right[live]]]), return_index=True)
+        chosen = live[np.unique(first % len(live))]
+        kept.append(chosen)
+        label = simhash._stars(label, label[left[chosen]], label[right[chosen]])[label]
+
+
+def _alike(texts: pa.Array, root: np.ndarray, one: np.ndarray, other: np.ndarray, least: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices of texts, from `one` and `other`, that reach `least`: enough to connect all roots that such pairs do."""
+    _, hashes, bounds = _hashes(Texts(texts), words)
+    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    order = np.lexsort((rows, hashes))
+    hashes, rows = hashes[order], rows[order]
+    again = np.zeros(len(hashes), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+    hashes, rows = hashes[~again], rows[~again]
+    size = np.bincount(rows, minlength=len(texts))
+    _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # others are in one text alone
+    rows, column = rows[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    common = np.zeros((len(one), len(other)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, column[-1] + SLAB + 1, SLAB)) if len(column) else []
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        held = np.zeros((len(texts), SLAB), np.float32)
+        held[rows[a:z], column[a:z] - k * SLAB] = 1
+        common += held[one] @ held[other].T
+    near = common >= least * (size[one][:, None] + size[other] - common)
+    left, right = np.nonzero(near & (root[one][:, None] != root[other]))
+    left, right = one[left], other[right]
+    _, label = np.unique(root, return_inverse=True)
+    kept = _forest(left, right, label)
+    return left[kept], right[kept]
+
+
+def _between_blocks(grouped: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """Links (a, b) between texts of one band and different roots, of (band, fp, root), enough to connect all roots that similar texts do.
+    A root with many texts in a band has blocks of its own, which are not held against each other; other roots share blocks."""
+    sized = grouped.join(texts.select("fp", F.octet_length("text").alias("bytes")), "fp")
+    roots = sized.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    own = (F.col("n") >= BLOCK // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
+    roots = saved(roots.withColumn("of", F.when(own, F.col("root").cast("string")).otherwise("")), "roots")
+    count = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1)))
+    parts = saved(roots.groupBy("band", "of").agg(count.alias("parts"), F.count("*").alias("roots")), "parts")
+    block = F.concat_ws("/", "of", "part").alias("block")
+    blocks = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("band", "of", "roots", block)
+    other = blocks.select("band", F.col("of").alias("of_b"), F.col("block").alias("second"))
+    pairs = blocks.withColumnRenamed("block", "first").join(other, "band").where("first <= second and (of <> of_b or of = '' and roots > 1)")
+    ends = F.array_distinct(F.array("first", "second"))
+    pairs = saved(pairs.select("band", "first", "second", F.explode(ends).alias("block")), "blocks")
+
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
+    dealt = grouped.join(roots.select("band", "root", "of"), ["band", "root"]).join(parts.select("band", "of", "parts"), ["band", "of"])
+    dealt = saved(dealt.select("band", "fp", "root", "of", part).select("band", "fp", "root", block).join(pairs, ["band", "block"]), "dealt")
+
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        fps, root = (group.column(c).to_numpy() for c in ("fp", "root"))
+        at = np.array(group.column("block").to_pylist())
+        one, other = (np.flatnonzero(at == key[k].as_py()) for k in (1, 2))
+        text = pa.concat_arrays([c.cast(pa.large_string()) for c in group.column("text").chunks])
+        left, right = _alike(text, root, one, other, least, words)
+        return pa.table({"a": np.minimum(fps[left], fps[right]), "b": np.maximum(fps[left], fps[right])})
+
+    both = dealt.join(texts.select("fp", "text").hint("merge"), "fp")
+    out = saved(both.groupBy("band", "first", "second").applyInArrow(compare, "a long, b long").distinct(), "similar")
+    for gone in (roots, parts, pairs, dealt):
+        discard(gone)
+    return out
+
+
 def _texts(prints: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, text), once for each fingerprint that is wanted; a written table."""
     return saved(prints.select("fp", "text").join(wanted.toDF("fp").distinct().hint("merge"), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
@@ -171,32 +254,34 @@ def links(prints: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFr
     found = [prints.sparkSession.createDataFrame([], "a long, b long")]
     old = [distinct, balls, buckets, weights]
 
-    live, many, rest = saved(big.join(weights, "fp"), "live"), 1, big
+    live = saved(big.join(weights, "fp"), "live")
     old.append(live)
-    while live.head(1):
+    for many in CENTRES:
         nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "fp"))
         centres = saved(live.withColumn("nth", nth).where(F.col("nth") <= many).select("band", F.col("fp").alias("centre")), "centres")
         tried = saved(big.join(centres, "band").where("fp <> centre").select("band", "fp", *_ordered("fp", "centre")), "tried")
         pairs = _sifted(tried.select("a", "b").distinct(), sigs)
         near = saved(_similar(pairs, texts, least, words), "similar")
         hit = tried.join(near, ["a", "b"]).select("band", "fp").union(centres).distinct()
-        after = saved(live.join(hit, ["band", "fp"], "left_anti"), "live")
-        old += [centres, tried, pairs, after]
+        live = saved(live.join(hit, ["band", "fp"], "left_anti"), "live")
+        old += [centres, tried, pairs, live]
         found.append(near)
-        rest = rest.join(centres.toDF("band", "fp"), ["band", "fp"], "left_anti")
-        live, many = after, min(4 * many, MOST_CENTRES)
 
     # Other pairs come last: those that links connect already need no comparison.
     joined = found[0]
     for near in found[1:]:
         joined = joined.union(near)
     rooted = saved(connected_components(joined.distinct()), "rooted")
-    grouped = small.select("band", "fp").union(rest.select("band", "fp")).join(rooted, F.col("fp") == F.col("node"), "left")
-    grouped = saved(grouped.select("band", "fp", F.coalesce("root", "fp").alias("root")), "grouped")
-    pairs = _sifted(_between_groups(grouped), sigs)
+
+    def grouped(members: DataFrame) -> DataFrame:
+        named = members.select("band", "fp").join(rooted, F.col("fp") == F.col("node"), "left")
+        return saved(named.select("band", "fp", F.coalesce("root", "fp").alias("root")), "grouped")
+
+    few, many = grouped(small), grouped(big)
+    pairs = _sifted(_between_groups(few), sigs)
     last = _texts(prints, pairs.select("a").union(pairs.select("b")))
-    found.append(saved(_similar(pairs, last, least, words), "similar"))
-    old += [rooted, grouped, pairs, last]
+    found += [saved(_similar(pairs, last, least, words), "similar"), _between_blocks(many, texts, least, words)]
+    old += [rooted, few, many, pairs, last]
 
     out = found[0]
     for near in found[1:]:

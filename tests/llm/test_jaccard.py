@@ -63,3 +63,24 @@ def test_no_link_of_a_bucket_is_left_out(spark, rng, monkeypatch):
         found = jaccard.simhash.components(table, linked=jaccard.links(table))
         of = {r.doc_id: r.component_id for r in table.join(found, "fp").collect()}
         assert of == {i: i - i % 4 for i in range(12)}
+
+
+def test_rows_of_a_large_bucket_of_unlike_copies(spark, rng, monkeypatch):
+    """Copies that are too far from their original, and those that another links to: all links, and rows far below the pairs."""
+    base, texts = words(rng, 150, 100000), []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 6, 10])):
+            w[at] = f"x{i}-{at}"
+        texts.append(" ".join(w))
+    texts += [t + " at the end" for t in texts[::7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = jaccard.F.lit(1).cast("long")
+    table = jaccard.saved(jaccard.sketches(docs).withColumns({"sim": one, "bands": jaccard.F.array(one)}), "alike")
+    sifted, of_pairs = [], jaccard._sifted
+    monkeypatch.setattr(jaccard, "_sifted", lambda pairs, sigs: sifted.append(pairs.count()) or of_pairs(pairs, sigs))
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    links = jaccard.links(table)
+    named = jaccard.simhash.components(table, linked=links)
+    assert sum(sifted) <= 5 * len(texts) and links.count() < 40 * len(texts)
+    assert sorted(r.component_id for r in table.join(named, "fp").select("component_id").distinct().collect()) == brute_force(texts)
