@@ -21,22 +21,21 @@ named are read. A very long text is one row: what is encoded at once holds it an
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garim.llm.chunks import Remembered, encoded, gathered
-from garim.llm.shared import shared_folder, small_batches, with_columns
+from garim.llm.shared import Texts, shared_folder, small_batches, with_columns
 
 END_ID = 2
 #: Bytes of text that are encoded at once: the more, the fewer words are looked up twice.
@@ -49,15 +48,9 @@ ORC = {
 #: Parts whose index may be broadcast: a row each, 24 bytes.
 MOST_BROADCAST = 1_000_000
 
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-_RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
-#: What isn't cut further.
-_WHOLE = re.compile("[^\0-\xff]|'|<\\|")
-
-
 @lru_cache(maxsize=2)
 def _lookup(vocabulary: str) -> Remembered:
-    """Ids of pieces that stand between white space."""
+    """Ids of pieces as `_pieces` cuts them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -66,30 +59,43 @@ def _lookup(vocabulary: str) -> Remembered:
     library.no_padding()
 
     def ask(pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.int32).tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    words = Remembered(ask)
-
-    def by_words(pieces: list[str]) -> list[bytes]:
-        cut = [[p.lower()] if p.isascii() and p.isalpha() else [p] if _WHOLE.search(p) else _RUNS.findall(p.lower()) for p in pieces]
-        distinct = list({w: None for c in cut for w in c})
-        ids = dict(zip(distinct, words(distinct), strict=True))
-        return [b"".join([ids[w] for w in c]) for c in cut]
-
-    return Remembered(by_words)
-
-
-_BLANKS = np.arange(256, dtype=np.uint8)
-_BLANKS[[9, 10, 11, 12, 13]] = 32
-
-
-def _pieces(texts: pa.Array) -> pa.ListArray:
-    """Each text's pieces between ASCII white space; some are empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    if data is not None:
-        data = pa.py_buffer(_BLANKS[np.frombuffer(data, np.uint8)])
-    return pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, data], offset=texts.offset), " ")
+        return [array("i", x.ids).tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    return Remembered(ask)
+
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _pieces(column: pa.Array) -> pa.ListArray:
+    """What each text is cut into. Pieces between ASCII white space that are in Latin-1, without apostrophe or `<|`, come in lower
+    case and cut between letters and other characters, all others as they are."""
+    texts = Texts(column)
+    kept = ~_BLANK[texts.buf]
+    begins = np.zeros(len(kept) + 1, bool)
+    begins[texts.offs] = True
+    begins[1:-1] |= ~kept[:-1]
+    begins, data = begins[:-1][kept], texts.buf[kept]
+    of_text = np.concatenate([[0], np.cumsum(kept)])[texts.offs]
+    if len(data):
+        whole = (data >= 0xC4) | (data == ord("'"))
+        whole[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        at = np.flatnonzero(begins)
+        plain = np.repeat(~np.logical_or.reduceat(whole, at), np.diff(np.append(at, len(data))))
+        letter, lower = _LETTER[data], _LOWER[data]
+        lead = np.flatnonzero(((data == 0xC2) | (data == 0xC3)) & plain)
+        second = data[lead + 1]
+        capital = (data[lead] == 0xC3) & (second != 0x97) & (second < 0x9F)
+        lower[lead[capital] + 1] += 0x20
+        letter[lead] = np.where(data[lead] == 0xC3, (second != 0x97) & (second != 0xB7), np.isin(second, [0xAA, 0xB5, 0xBA]))
+        letter[lead + 1] = letter[lead]
+        begins[1:] |= plain[1:] & (letter[1:] != letter[:-1])
+        data = np.where(plain, lower, data)
+    cuts = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data)])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, of_text), pa.int32()), words)
 
 
 def encode_batch(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:

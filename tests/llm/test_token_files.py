@@ -80,3 +80,11 @@ def test_files_have_indexes_and_readers_prune(spark, docs_of, tmp_path, library)
     kinds = {stripe.getStreams(i).getKind().toString() for i in range(stripe.getStreamsCount())}
     assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
     assert "DIRECT_V2" in {stripe.getColumns(i).getKind().toString() for i in range(stripe.getColumnsCount())}
+
+
+def test_texts_are_cut_before_words_are_told_apart():
+    """One look-up for a word, however it is written and whatever stands beside it."""
+    texts = ["Ab,ab\tAB ÀÖ×öß µ§", None, "", "It's A<|b Ağ x<y"]
+    assert M._pieces(pa.array(["left out", *texts])[1:]).to_pylist() == [
+        ["ab", ",", "ab", "ab", "àö", "×", "öß", "µ", "§"], [], [], ["It's", "A<|b", "Ağ", "x", "<", "y"]
+    ]
