@@ -226,23 +226,25 @@ def strings(values: Iterable[str | None]) -> pa.Array:
     return pa.array(list(values), pa.string())
 
 
-def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def platt(raw: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset that turn raw scores into probabilities: logistic regression with Platt's
-    smoothed targets, by Newton steps that are halved until they help."""
-    middle, spread = float(raw.mean()), float(raw.std()) or 1.0
+    smoothed targets, by Newton steps that are halved until they help. `n`: how often each score counts."""
+    n = np.ones(len(raw)) if n is None else n
+    middle = float(np.average(raw, weights=n))
+    spread = float(np.sqrt(np.average((raw - middle) ** 2, weights=n))) or 1.0
     x, ones = (raw - middle) / spread, y == 1
-    n1, n0 = ones.sum(), (~ones).sum()
+    n1, n0 = n[ones].sum(), n[~ones].sum()
     target = np.where(ones, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
     def loss(a: float, b: float) -> float:
         z = a * x + b
-        return float((np.logaddexp(0, z) - target * z).sum() + 1e-3 * a * a)
+        return float((n * (np.logaddexp(0, z) - target * z)).sum() + 1e-3 * a * a)
 
     a, b = 0.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        w = p * (1 - p)
-        g = np.array([((p - target) * x).sum() + 2e-3 * a, (p - target).sum()])
+        w = n * p * (1 - p)
+        g = np.array([(n * (p - target) * x).sum() + 2e-3 * a, (n * (p - target)).sum()])
         h = np.array([[(w * x * x).sum() + 2e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
         step, size = np.linalg.solve(h, g), 1.0
         while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > loss(a, b):

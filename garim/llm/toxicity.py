@@ -10,9 +10,11 @@ Training starts from a rough guess: the first dimension of each slot's embedding
 toxic text of the training part, and one filter of each width reads that dimension. The network is then trained as a
 whole, all weights free.
 
-Training uses at most `SAMPLE` labelled rows, half of them toxic where there are as many, of least hash
-among those whose crc32(doc_id as text) mod 4 is not 2; the rest is held out. A part of the sample
-calibrates the score, and gives each language the threshold that separates its rows best; neither
+The network learns from all labelled rows whose crc32(doc_id as text) mod 4 is not 2; the rest is held out. It starts from
+one fitted on the driver on at most `SAMPLE` of these rows, half of them toxic where there are as many, of least hash. Where
+there are more, it then goes `ROUNDS` times over all of them: each task trains a copy on its rows, and the copies' weights, by
+blocks of them, are averaged by rows. A quarter of the rows, by hash of the id, is kept from training and calibrates the score,
+and gives each language the threshold that separates its rows best, by counts of all its scores in steps of 1 / `STEPS`; neither
 language nor source nor id is an input of the score.
 
 Repeated rows are scored each; of labels or texts that differ under one id the least is learnt from.
@@ -22,6 +24,9 @@ labels of both kinds every score is 0. Labels other than 0 and 1 are left out.
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,10 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garim.llm.shared import Texts, U, platt, with_columns, xxh64
+from garim.llm.chunks import gathered
+from garim.llm.shared import Texts, U, discard, platt, saved, small_batches, with_columns, xxh64
 
-#: Labelled rows that a model is fitted on, at most.
+#: Labelled rows that the driver fits the starting network on, at most.
 SAMPLE = 2400
+#: Passes over all labelled rows, where there are more.
+ROUNDS = 2
+#: Bytes of text that a task trains on at once, and weights in a row of an average.
+AT_ONCE, BLOCK = 4 << 20, 1 << 14
+#: Raw scores are counted in such parts of one, between -LIMIT and LIMIT.
+STEPS, LIMIT = 256, 30
 PREDICT = 0.3
 SLOTS = 16
 STARTS = (4, 5, 6)
@@ -131,22 +143,19 @@ def _texts_of(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.
     return ids[np.arange(bounds[-1]) + np.repeat(first[rows] - bounds[:-1], sizes)], bounds
 
 
-def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], fold: np.ndarray, seed: int = 7) -> Network:
-    """A network of P(label = 1); rows with `fold` set calibrate it, the others train it."""
-    net, y = Network(seed), labels.astype(np.float32)
-    train = np.flatnonzero(~fold)
-    if len(set(labels[~fold])) < 2:
-        return net
-    net.fitted = True
-    ids, first = slots(pa.array(texts, pa.string()))
-    _start_embedding(net, *_texts_of(ids, first, train), labels[train])
-    rng = np.random.default_rng(seed)
-    weights = [net.out, *net.filters, *net.bias]
-    memory = [np.full_like(w, 1e-3) for w in weights]
-    rows_memory, shift_memory = np.full((1 << SLOTS, 1), 1e-3, np.float32), 1e-3
-    net.training = True
-    for _ in range(EPOCHS):
-        order = rng.permutation(train)
+class Learner:
+    """Gradient steps for a network, each weight's by its own past gradients."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.weights = [net.out, *net.filters, *net.bias]
+        self.memory = [np.full_like(w, 1e-3) for w in self.weights]
+        self.rows_memory, self.shift_memory = np.full((1 << SLOTS, 1), 1e-3, np.float32), 1e-3
+
+    def learn(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray, order: np.ndarray) -> None:
+        """One pass over texts in this order."""
+        net, rows_memory = self.net, self.rows_memory
+        net.training = True
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
             words, bounds = _texts_of(ids, first, rows)
@@ -165,17 +174,32 @@ def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], fo
                     push = g[:, None] * net.filters[k][j][:, f].T
                     touched.append(words[at + j].ravel())
                     steps.append(np.repeat(push, words.shape[1], axis=0))
-            for w, m, g in zip(weights, memory, grads, strict=True):
+            for w, m, g in zip(self.weights, self.memory, grads, strict=True):
                 m += g * g
                 w -= RATE * g / np.sqrt(m)
-            shift_memory += float(error.sum()) ** 2
-            net.shift -= np.float32(RATE * error.sum() / np.sqrt(shift_memory))
+            self.shift_memory += float(error.sum()) ** 2
+            net.shift -= np.float32(RATE * error.sum() / np.sqrt(self.shift_memory))
             slot, inverse = np.unique(np.concatenate(touched), return_inverse=True)
             total = np.zeros((len(slot), SIZE), np.float32)
             np.add.at(total, inverse, np.concatenate(steps))
             rows_memory[slot] += (total * total).mean(axis=1, keepdims=True)
             net.embedding[slot] -= RATE * total / np.sqrt(rows_memory[slot])
-    net.training = False
+        net.training = False
+
+
+def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], fold: np.ndarray, seed: int = 7) -> Network:
+    """A network of P(label = 1); rows with `fold` set calibrate it, the others train it."""
+    net, y = Network(seed), labels.astype(np.float32)
+    train = np.flatnonzero(~fold)
+    if len(set(labels[~fold])) < 2:
+        return net
+    net.fitted = True
+    ids, first = slots(pa.array(texts, pa.string()))
+    _start_embedding(net, *_texts_of(ids, first, train), labels[train])
+    rng = np.random.default_rng(seed)
+    learner = Learner(net)
+    for _ in range(EPOCHS):
+        learner.learn(ids, first, y, rng.permutation(train))
     _calibrate(net, ids, first, labels, langs, np.flatnonzero(fold))
     return net
 
@@ -200,11 +224,15 @@ def _calibrate(net: Network, ids: np.ndarray, first: np.ndarray, labels: np.ndar
         net.thresholds[lang] = float(good[np.abs(good - PREDICT).argmin()])
 
 
+def _open(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of all rows to learn from; the least of labels that differ."""
+    open_ = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return open_.groupBy("doc_id").agg(F.min("toxic").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list:
     """At most `most` rows (text, lang, label) to learn from, none of them held out."""
-    open_ = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    open_ = open_.groupBy("doc_id").agg(F.min("toxic").alias("label"))  # the least of labels that differ
-    chosen = None
+    open_, chosen = _open(labels), None
     for label in (1, 0):
         part = open_.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         chosen = part if chosen is None else chosen.union(part)
@@ -217,10 +245,100 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
+def _calibrates(key: str):
+    return F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(4)) == 3
+
+
+def _trained(rows: DataFrame, net: Network) -> Network:
+    """The average, by rows, of copies of a network that tasks train on rows (text, label)."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)  # its size is fixed by SLOTS and SIZE
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, n = copy.deepcopy(shared.value), 0
+        learner, rng = Learner(mine), np.random.default_rng(7)
+        for batch in gathered(batches, AT_ONCE):
+            learner.learn(*slots(batch.column(0)), batch.column(1).to_numpy().astype(np.float32), rng.permutation(len(batch)))
+            n += len(batch)
+        if n:
+            flat = np.concatenate([w.ravel() for w in (mine.embedding, *learner.weights, np.array([mine.shift], np.float32))])
+            parts = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "part"])
+
+    def mean(group: pa.Table) -> pa.Table:
+        n, total = group.column("n").to_pylist(), 0.0
+        for k, part in zip(n, group.column("part"), strict=True):
+            total = total + np.frombuffer(part.as_buffer(), np.float32) * (k / sum(n))
+        return pa.table({"block": group.column("block")[:1].cast(pa.int32()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    made = rows.select("text", "label").mapInArrow(run, "block int, n long, part binary").groupBy("block").applyInArrow(mean, "block int, part binary")
+    flat = np.frombuffer(b"".join(r["part"] for r in sorted(made.collect(), key=lambda r: r["block"])), np.float32)
+    if not len(flat):
+        return net
+    out, at = copy.deepcopy(net), 0
+    for w in (out.embedding, out.out, *out.filters, *out.bias):
+        w[...] = flat[at : at + w.size].reshape(w.shape)
+        at += w.size
+    out.shift = flat[at]
+    return out
+
+
+def _calibrate_by(rows: DataFrame, net: Network) -> None:
+    """Slope, offset and thresholds from counts of the raw scores of all rows (text, label, lang)."""
+    net.slope, net.offset, net.thresholds = 1.0, 0.0, {}
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def start():
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            raw = np.clip(shared.value.raw(*slots(batch.column("text"))), -LIMIT, LIMIT)
+            return [pa.array(np.rint(raw * STEPS).astype(np.int32))]
+
+        return make
+
+    scored = with_columns(rows, [T.StructField("step", T.IntegerType())], start)
+    ones = F.sum("label").cast("long").alias("ones")
+    counted = saved(scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "step").agg(ones, F.count("*").alias("n")), "scores")
+    all_ = counted.groupBy("step").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).orderBy("step").collect()  # 2 * LIMIT * STEPS rows at most
+    n1, n0 = (np.array([f(r) for r in all_], float) for f in (lambda r: r["ones"], lambda r: r["n"] - r["ones"]))
+    if n1.sum() and n0.sum():
+        raw = np.array([r["step"] for r in all_], float) / STEPS
+        a, b = platt(np.concatenate([raw, raw]), np.repeat([1, 0], len(raw)), np.concatenate([n1, n0]))
+        if a > 0:
+            net.slope, net.offset = a, b
+        slope, offset = net.slope, net.offset
+
+        def best(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("step", "descending")])
+            of, n = (group.column(c).to_numpy() for c in ("ones", "n"))
+            cut = 1 / (1 + np.exp(-np.clip(slope * group.column("step").to_numpy() / STEPS + offset, -40, 40)))
+            value = 2 * np.cumsum(of) / (np.cumsum(n) + of.sum())
+            good = cut[value == value.max()]
+            both = int(0 < of.sum() < n.sum())
+            return pa.table({"lang": group.column("lang").slice(0, both), "cut": pa.array([good[np.abs(good - PREDICT).argmin()]] * both, pa.float64())})
+
+        net.thresholds = {r["lang"]: r["cut"] for r in counted.groupBy("lang").applyInArrow(best, "lang string, cut double").collect()}  # a row for each language
+    discard(counted)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
     rows = sample(docs, labels, most)
     fold = np.array([i % 4 == 3 for i in range(len(rows))], bool)
-    return fit([r.text for r in rows], np.array([r.label for r in rows], int), [r.lang for r in rows], fold)
+    if _open(labels).count() <= len(rows):
+        return fit([r.text for r in rows], np.array([r.label for r in rows], int), [r.lang for r in rows], fold)
+    of = docs.select("doc_id", "text", "lang").where(~held_out("doc_id")).join(_open(labels), "doc_id")
+    of = of.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("row"))
+    learnt = saved(of.select("label", "row.text", "row.lang", _calibrates("doc_id").alias("fold")), "labelled")
+    few = docs.sparkSession.createDataFrame([(r.doc_id,) for r in rows], "doc_id long").select("doc_id", _calibrates("doc_id").alias("fold"))
+    kept = {r.doc_id for r in few.where("fold").collect()}
+    fold = np.array([r.doc_id in kept for r in rows], bool)
+    net = fit([r.text for r in rows], np.array([r.label for r in rows], int), [r.lang for r in rows], fold)
+    net.fitted = learnt.where("not fold").select("label").distinct().count() == 2
+    for _ in range(ROUNDS if net.fitted else 0):
+        net = _trained(learnt.where("not fold"), net)
+    if net.fitted:
+        _calibrate_by(learnt.where("fold"), net)
+    discard(learnt)
+    return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -68,3 +70,15 @@ def test_scores_by_definition(rng):
         raw = float(np.dot(pooled, net.out) + net.shift)
         expected = 1 / (1 + np.exp(-(net.slope * raw + net.offset)))
         assert abs(net.score(ids, first)[0] - expected) < 1e-3
+
+
+def test_all_labelled_rows_are_learnt_from(spark, docs_of, rng):
+    """Far more rows than the starting network is fitted on: words, scores and thresholds of the rest count too."""
+    rows = corpus(rng, 1200)
+    docs = docs_of([r[0] for r in rows]).join(spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, of string"), "doc_id").drop("lang").withColumnRenamed("of", "lang")
+    labels = spark.createDataFrame([(i, 1, r[2]) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    net = X.train(docs, labels, 12)
+    held = [r for i, r in enumerate(rows) if zlib.crc32(str(i).encode()) % 4 == 2]
+    score = net.score(*X.slots(pa.array([r[0] for r in held])))
+    assert ((score >= X.PREDICT) == [r[2] == 1 for r in held]).mean() > 0.9
+    assert set(net.thresholds) == {"en", "de"} and all(0 < t < 1 for t in net.thresholds.values())
