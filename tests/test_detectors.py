@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from garim.functions.labels import POLICIES, action
 from garim.functions.normalize import detect_normalized, with_normalized
 from garim.operators import analytics, masking, merge
 from garim.operators.detectors import LABELS, detect
+from garim.plans import catalog
 
 CASES = [
     ("주민번호 900101-1234568 입니다", {"RRN": "900101-1234568"}),
@@ -120,6 +122,30 @@ def test_unknown_names_are_refused(spark):
         merge.merged(F.lit(1), F.lit(1), "nothing")
 
 
+def test_fallback_asks_the_second_detector_about_what_is_in_review(spark):
+    """Of spans in review: agreed, found to be something else, and unknown to it. Settled ones and other places are not its own."""
+    row = "array<struct<label:string,text:string,start:int,end:int,risk_level:int,confidence:double,rank:int>>"
+    span = lambda label, start, end, risk, conf: (label, "x" * (end - start), start, end, risk, conf, 0)
+    first = [span("A", 0, 5, 3, 0.8), span("B", 10, 15, 3, 0.8), span("C", 20, 25, 3, 0.8), span("D", 30, 35, 5, 0.9), span("E", 40, 45, 1, 0.9)]
+    second = [span("A", 2, 6, 3, 0.9), span("X", 12, 18, 4, 0.9), span("Y", 23, 33, 5, 1.0), span("Z", 41, 44, 5, 1.0), span("W", 50, 55, 5, 1.0)]
+    df = spark.createDataFrame([(first, second), (first, []), ([], second), (None, second)], f"a {row}, b {row}")
+    found = df.select(merge.merged(F.col("a"), F.col("b"), "fallback_secondary", policy="BALANCED").alias("s")).collect()
+    kept = [("C", 20, 0.8), ("D", 30, 0.9), ("E", 40, 0.9)]
+    assert [(x.label, x.start, round(x.confidence, 4)) for x in found[0].s] == [("A", 0, 0.85), ("X", 12, 0.9), *kept]
+    assert [(x.label, x.start, x.confidence) for x in found[1].s] == [("A", 0, 0.8), ("B", 10, 0.8), *kept]
+    assert not found[2].s and not found[3].s
+    strict = df.limit(1).select(merge.merged(F.col("a"), F.col("b"), "fallback_secondary").alias("s")).first().s
+    assert [x.label for x in strict] == ["A", "B", "C", "D", "E"]
+
+
+def test_fallback_query_gives_the_rows_of_its_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(catalog.oracle_sql()["merge_fallback_secondary"]).fetchall()
+    found = catalog.queries()["merge_fallback_secondary"](spark, "/root/testdata/sf0.001").select("label", "n", "confidence", "confirmed").collect()
+    assert sorted(map(tuple, found)) == sorted(want) and {r.label: r.confirmed == r.n for r in found} == {"EMAIL": True, "IP": False}
+
+
 def test_normalization(spark):
     plain = with_normalized(spark.createDataFrame([("０１０‐１２３４",), ("a​b",)], "text string")).select("normal.text").collect()
     assert [r.text for r in plain] == ["010-1234", "ab"]
