@@ -144,3 +144,29 @@ def test_long_text_with_many_changes(spark):
 
     assert taken(8000) < 8 * taken(2000)
     assert S.SPAN
+
+
+def test_boxes_and_broken_lines_are_one_map_of_few_runs(spark):
+    """A run for each box, and a map for lines and another for fields, made up most of the time on such texts."""
+    texts = ["전화 번\n호 0 1 0 - 1 2 3 4 - 5 6 7 8 끝", "49 9 - 8 7- 0 3 8 ￿ 0 1 0 - 1 2 3 4 - 5", "￿", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    df = normalize.with_normalized(df, repair_lines=True)
+    rows = {r.i: r for r in df.select("i", "normal").collect()}
+    first = rows[0].normal
+    assert first.text == "전화 번호 010-1234-5678 끝" and len(first.maps) == 1
+    assert [(r.at, r.source, r.step) for r in first.maps[0].runs] == [(0, 0, 1), (4, 5, 1), (6, 7, 2), (19, 32, 1)]
+    assert rows[1].normal.text == "499-87-038 ￿ 010-1234-5" and rows[2].normal.text == "￿" and rows[3].normal.text == ""
+    found = normalize.detect_normalized(df.select("i", "text"), repair_lines=True, include=["PHONE"]).where("i = 0").first().spans
+    assert [(s.text, s.start, s.end) for s in found] == [("0 1 0 - 1 2 3 4 - 5 6 7 8", 7, 32)]
+
+
+def test_spans_that_stand_in_order_stay(spark):
+    row = "array<struct<label:string,text:string,start:int,end:int,risk_level:int,confidence:double,rank:int>>"
+    span = lambda start, end, risk: ("A", "x", start, end, risk, 0.9, 0)
+    cases = [[span(0, 2, 1), span(2, 4, 5), span(7, 9, 2)], [span(7, 9, 2), span(0, 2, 1)], [span(0, 3, 1), span(2, 4, 5)], [span(i, i + 1, 3) for i in range(600)]]
+    df = spark.createDataFrame(list(enumerate(cases)), f"i int, s {row}")
+    rows = df.select("i", S.in_order(F.col("s")).alias("ok"), S.resolve(F.col("s")).alias("r"), S.first_come(F.col("s")).alias("f"), S.running(F.transform("s", lambda x: x["end"] - x["start"])).alias("n")).orderBy("i").collect()
+    assert [r.ok for r in rows] == [True, False, False, True]
+    assert [[(x.start, x.end) for x in r.r] for r in rows[:3]] == [[(0, 2), (2, 4), (7, 9)], [(0, 2), (7, 9)], [(2, 4)]]
+    assert [[(x.start, x.end) for x in r.f] for r in rows[:3]] == [[(0, 2), (2, 4), (7, 9)], [(0, 2), (7, 9)], [(0, 3)]]
+    assert rows[3].n == list(range(600)) and len(rows[3].r) == len(rows[3].f) == 600
